@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import exact_dedup, langid, mixing, packing, url_filter
+from sparkseek.llm import exact_dedup, langid, mixing, packing, repeated_phrases, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_phrases.remove_repeated(read(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_tokenizer_path()
     return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.word_tokenizer(path).encode)
@@ -64,6 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_repeated_phrases": op2_repeated_phrases,
         "op4_pack": op4_pack,
         "op5_mix": op5_mix,
         "op8_url_filter": op8_url_filter,
