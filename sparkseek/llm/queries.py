@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import exact_dedup, langid, mixing, packing, repeated_phrases, url_filter
+from sparkseek.llm import exact_dedup, jaccard_join, langid, mixing, packing, repeated_phrases, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy("first_position", "doc_id")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     host, _ = url_filter.host_and_path(F.col("url"))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op2_repeated_phrases": op2_repeated_phrases,
         "op4_pack": op4_pack,
         "op5_mix": op5_mix,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_url_filter": op8_url_filter,
         "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
