@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import exact_dedup, jaccard_join, langid, mixing, packing, repeated_phrases, url_filter
+from sparkseek.llm import chroma, exact_dedup, jaccard_join, langid, line_spread, mixing, packing, repeated_phrases, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,12 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each document's UTF-8 bytes are read as a recording of unsigned 8-bit samples at 4 kHz."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("audio"))
+    return chroma.shared_audio(docs, chroma.samples_of_bytes)
+
+
 def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_phrases.remove_repeated(read(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -52,6 +58,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_spread.remove_boilerplate(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     host, _ = url_filter.host_and_path(F.col("url"))
@@ -73,10 +84,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chroma": op1_chroma,
         "op2_repeated_phrases": op2_repeated_phrases,
         "op4_pack": op4_pack,
         "op5_mix": op5_mix,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_line_spread": op7_line_spread,
         "op8_url_filter": op8_url_filter,
         "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
@@ -112,6 +125,19 @@ SELECT doc_id, size, source_size, target,
 FROM timed
 """
 
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+        FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT 's' || source) + max((source IS NULL)::INT) >= 10),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bare IN (SELECT bare FROM b)) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bare NOT IN (SELECT bare FROM b)), '') AS kept
+      FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
 _EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n
@@ -125,4 +151,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": _MIX_SQL, "op10_exact_dedup": _EXACT_SQL}
+    return {"op5_mix": _MIX_SQL, "op7_line_spread": _LINES_SQL, "op10_exact_dedup": _EXACT_SQL}
