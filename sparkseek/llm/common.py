@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,8 @@ import sparkseek
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows; so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
@@ -29,8 +32,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def durable(df: DataFrame) -> DataFrame:
     """Compute df once into the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for it is needed no more
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, count: Column, total: int, spread: Column, how: str = "inner") -> DataFrame:

@@ -91,5 +91,9 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = index.ingest(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = durable(index.ingest(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept"))
+    kept = found.where("kept").select("_id")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    if found.groupBy("_id").count().where("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates([id_col, text_col])  # rows that repeat id and text

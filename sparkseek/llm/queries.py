@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import chroma, exact_dedup, jaccard_join, langid, line_spread, mixing, packing, repeated_phrases, url_filter
+from sparkseek.llm import chroma, exact_dedup, jaccard_join, langid, line_spread, mixing, packing, quality, repeated_phrases, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,12 @@ def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc.doc_id", "text_score", "metadata_score", "quality_score", "kept")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_tokenizer_path()
     return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.word_tokenizer(path).encode)
@@ -86,6 +92,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chroma": op1_chroma,
         "op2_repeated_phrases": op2_repeated_phrases,
+        "op3_quality": op3_quality,
         "op4_pack": op4_pack,
         "op5_mix": op5_mix,
         "op6_jaccard_join": op6_jaccard_join,
