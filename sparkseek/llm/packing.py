@@ -16,6 +16,7 @@ as often as they come; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,7 +32,10 @@ from sparkseek.llm.common import ship
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Words whose ids a task keeps at hand; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: New words in one call of the tokenizer.
+GROUP = 50
+PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,32 +44,79 @@ class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words, and words that come again are looked up. Texts in which that does not hold (special tokens,
-    normalisation across a space) are encoded whole.
+    words, and words that come again are looked up. Texts in which that does not hold (special tokens) are
+    encoded whole. New words go to the tokenizer many at a time: each run of letters ends in one token
+    with the vocabulary's word end, by which the ids are told apart; where their number is not that of the
+    words, these are encoded one by one. ASCII punctuation at the end of a word is a token run of its own. Lower-case
+    Latin letters are what normalisation and splitting leave as they are, so their words skip both.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).astype("<u4").tobytes()
         self.words: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[bytes]) -> None:
+        tails = {w: tail for w in new if (tail := _tail(w)) and len(tail) < len(w)}
+        heads = {w[: len(w) - len(tails[w])] if w in tails else w for w in new} | set(tails.values())
+        plain, other = [], []
+        for w in heads.difference(self.words):
+            t = w.decode()
+            if t.isalpha() and max(t) < "\u0250" and "\u0130" not in t:
+                plain.append((t.lower(), w))
+            else:
+                other.append(t)
+        for i in range(0, len(plain), 5000):
+            groups = [plain[j : j + GROUP] for j in range(i, min(i + 5000, len(plain)), GROUP)]
+            for group, found in zip(groups, self.plain.encode_batch_fast([" ".join(t for t, _ in g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(group):
+                    other.extend(w.decode() for _, w in group)
+                    continue
+                raw, start = ids.tobytes(), 0
+                for (_, word), end in zip(group, (4 * ends).tolist(), strict=True):
+                    self.words[word] = raw[start:end]
+                    start = end
+        for i in range(0, len(other), 5000):
+            part = other[i : i + 5000]
+            self.words.update(zip((w.encode() for w in part), self._ids(part), strict=True))
+        for w, tail in tails.items():
+            self.words[w] = self.words[w[: len(w) - len(tail)]] + self.words[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
-        split = [None if any(s in r for s in self.special) else r.split() for r in raw]
+        whole = [any(s in r for s in self.special) for r in raw]
+        # lower case is the tokenizer's own; before it come only compositions, of which combining marks take part
+        split = [[] if all_ else (r if b"\xcc" in r or b"\xcd" in r else r.lower()).split() for r, all_ in zip(raw, whole, strict=True)]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = list({w for ws in split if ws for w in ws}.difference(self.words))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.words.update(zip(part, self._ids([w.decode() for w in part]), strict=True))
-        get = self.words.__getitem__
-        return [(self._ids([r.decode()])[0] if ws is None else b"".join(map(get, ws))) + self.end for r, ws in zip(raw, split, strict=True)]
+        get = self.words.get
+        found = [list(map(get, ws)) for ws in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        self._learn({w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+        for i in lacking:
+            found[i] = list(map(get, split[i]))
+        return [(self._ids([r.decode()])[0] if all_ else b"".join(ids)) + self.end for r, all_, ids in zip(raw, whole, found, strict=True)]
+
+
+def _tail(word: bytes) -> bytes:
+    """ASCII punctuation at the end of a word whose character before is an ASCII letter or digit."""
+    head = word.rstrip(PUNCTUATION)
+    return word[len(head) :] if head and head[-1] < 128 and chr(head[-1]).isalnum() else b""
 
 
 @lru_cache(maxsize=4)
