@@ -1 +1 @@
-"""See README.md."""
+"""Search, aggregation, merging and mutation as DataFrame operators."""

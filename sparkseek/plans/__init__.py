@@ -1 +1 @@
-"""See README.md."""
+"""The document model, filters, and the planner from requests to DataFrames."""

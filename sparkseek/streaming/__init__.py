@@ -1 +1 @@
-"""See README.md."""
+"""Structured Streaming ingestion and windowed counts."""
