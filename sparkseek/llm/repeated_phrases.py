@@ -90,7 +90,7 @@ def _stretch_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """From (id, text, stretches): route, text, windows, id and start of the first of equal segments, how many there are."""
+    """From (id, text, anchors, places): route, text, windows, id and start of the first of equal segments, how many there are."""
     kept: dict[tuple[int, bytes], list] = {}
     size = 0
 
@@ -102,14 +102,17 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["route", "segment", "windows", "id", "start", "times"])
 
     for b in batches:
-        for id_, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for id_, text, anchors, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if not anchors:
+                continue
             words = text.encode().split()
-            for x in own:
-                start, n, hot = x["place"] >> 6, x["place"] & 63, x["hot"]
+            for anchor, place in zip(anchors, places, strict=True):
+                hot, place = place & 1, place >> 1
+                start, n = place >> 6, place & 63
                 pieces = [(start, n)] if not hot else [(start + j, 1) for j in range(n)]
                 for at, many in pieces:
                     segment = b" ".join(words[at : at + many + window - 1])
-                    key = (xxhash.xxh3_64_intdigest(segment) - 2**63 if hot else x["anchor"], segment)
+                    key = (xxhash.xxh3_64_intdigest(segment) - 2**63 if hot else anchor, segment)
                     if known := kept.get(key):
                         known[3] += 1
                         if (id_, at) < (known[1], known[2]):
@@ -127,18 +130,24 @@ class Shard:
     """Segments, and the automaton of the windows that recur in them."""
 
     def __init__(self, window: int):
-        self.window, self.words, self.segments = window, {}, []
+        self.window, self.words, self.segments = window, {}, {}
 
     def add(self, segment: bytes, n: int, id_: int, start: int, times: int) -> None:
-        words = self.words
-        self.segments.append((tuple([words.setdefault(w, len(words)) for w in segment.split(b" ")]), n, id_, start, times))
+        """Equal segments count together, at their first occurrence: all windows of the others are repeated."""
+        if known := self.segments.get(segment):
+            known[4] += times
+            if (id_, start) < (known[2], known[3]):
+                known[2:4] = id_, start
+        else:
+            words = self.words
+            self.segments[segment] = [tuple([words.setdefault(w, len(words)) for w in segment.split(b" ")]), n, id_, start, times]
 
     def first_occurrences(self) -> Iterator[tuple[int, int]]:
         """(id, start) of the windows, one for each segment at most, that are no repeats."""
         import ahocorasick
 
         seen: dict[tuple, list] = {}
-        for words, n, id_, start, times in self.segments:
+        for words, n, id_, start, times in self.segments.values():
             for j in range(n):
                 window, at = words[j : j + self.window], (id_, start + j)
                 if known := seen.get(window):
@@ -154,7 +163,7 @@ class Shard:
         seen.clear()
         if len(automaton):
             automaton.make_automaton()
-        for words, n, id_, start, _ in self.segments:
+        for words, n, id_, start, _ in self.segments.values():
             repeats = {end - self.window + 1 for end, at in automaton.iter(words) if at != (id_, start + end - self.window + 1)} if len(automaton) else ()
             yield from ((id_, start + j) for j in range(n) if j not in repeats)
 
@@ -183,15 +192,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     occurrences = _stretch_rows(known, window, anchor)
     recurring = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    own = occurrences.join(recurring.withColumn("hot", F.col("n") > hot).drop("n"), "anchor")
-    own = durable(own.groupBy("id").agg(F.collect_set(F.struct("anchor", "place", "hot")).alias("stretches")))
-    with_text = docs.join(own, "id")
-    segments = with_text.select("id", "text", "stretches").mapInArrow(lambda b: _segments(b, window), "route long, segment binary, windows long, id long, start long, times long")
+    own = occurrences.join(recurring.withColumn("hot", (F.col("n") > hot).cast("long")).drop("n"), "anchor")
+    own = own.groupBy("id").agg(F.collect_set(F.struct("anchor", (F.col("place") * 2 + F.col("hot")).alias("place"))).alias("own"))
+    own = durable(own.select("id", F.col("own.anchor").alias("anchors"), F.col("own.place").alias("places")))
+    # both joins with the documents read one and the same shuffle of their texts
+    segments = docs.join(own, "id", "left").select("id", "text", "anchors", "places").mapInArrow(lambda b: _segments(b, window), "route long, segment binary, windows long, id long, start long, times long")
     segments = segments.repartition("route").sortWithinPartitions("route")
     firsts = segments.mapInArrow(lambda b: _match(b, window, SHARD_SEGMENTS), "id long, start long")
     firsts = firsts.groupBy("id").agg(F.collect_set("start").alias("firsts"))
-    places = F.transform("stretches", lambda x: x["place"]).alias("stretches")
-    return docs.join(own.select("id", places), "id", "left").join(firsts, "id", "left")
+    lists = own.select("id", F.transform("places", lambda x: F.shiftright(x, 1)).alias("stretches")).join(firsts, "id", "left")
+    return docs.join(lists, "id", "left")
 
 
 def _covered(n: int, places: list[int], firsts: list[int], window: int) -> np.ndarray:
