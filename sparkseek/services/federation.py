@@ -24,7 +24,7 @@ def federated_search(engines: Sequence[Engine], query: str, limit: int = 10, con
     for engine, job in zip(engines, jobs, strict=True):
         if not job.done():
             omitted.append(Omitted(engine.name, "timeout"))
-        elif job.exception():
+        elif job.exception() or not job.result().manifest.slices_answered:
             omitted.append(Omitted(engine.name, "unreachable"))
         else:
             parts.append(job.result().hits)
