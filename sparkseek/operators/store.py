@@ -20,7 +20,8 @@ from sparkseek.functions.hashing import shard_of
 def last_arrival(rows: DataFrame, key: str, arrival: Column) -> DataFrame:
     """For each key the row with the greatest arrival number."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), arrival).alias("_r")).select(key, "_r.*").select(*rows.columns)
+    numbered = rows.withColumn("_arrival", arrival)
+    return numbered.groupBy(key).agg(F.max_by(F.struct(*others), "_arrival").alias("_r")).select(key, "_r.*").select(*rows.columns)
 
 
 def upserted(current: DataFrame, batch: DataFrame, key: str = "doc_key") -> DataFrame:

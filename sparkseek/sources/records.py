@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +69,18 @@ def json_to_docs(body: str, prefix: str, path: str = "", id_field: str = "id", t
 def parse_bodies(bodies: DataFrame, body: str = "body", prefix: str = "prefix", path: str = "", id_field: str = "id", time_field: str | None = None) -> DataFrame:
     """Documents of a DataFrame (batch or stream) of JSON texts; prefix names a column. Field names are data, hence Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc_key": pa.string(), "observed_at": pa.int64(), "latitude": pa.float64(), "longitude": pa.float64(), "text": pa.map_(pa.string(), pa.string()), "number": pa.map_(pa.string(), pa.float64())}
+    empty = {"observed_at": 0, "latitude": 0.0, "longitude": 0.0}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs = [d for t, p in zip(b["body"], b["prefix"], strict=True) for d in json_to_docs(t or "", p, path, id_field, time_field)]
-            yield pd.DataFrame({"doc_key": [d["doc_key"] for d in docs], "observed_at": [d.get("observed_at", 0) for d in docs], "latitude": [d.get("latitude", 0.0) for d in docs], "longitude": [d.get("longitude", 0.0) for d in docs], "text": [d["text"] for d in docs], "number": [d["number"] for d in docs]})
+            docs = [empty | d for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for d in json_to_docs(t or "", p, path, id_field, time_field)]
+            values = {k: [list(d[k].items()) if k in ("text", "number") else d[k] for d in docs] for k in kinds}
+            yield pa.RecordBatch.from_arrays([pa.array(values[k], t) for k, t in kinds.items()], names=list(kinds))
 
     ship(bodies.sparkSession)
     schema = "doc_key string, observed_at long, latitude double, longitude double, text map<string,string>, number map<string,double>"
-    return normalize(bodies.select(F.col(body).alias("body"), F.col(prefix).alias("prefix")).mapInPandas(run, schema))
+    return normalize(bodies.select(F.col(body).alias("body"), F.col(prefix).alias("prefix")).mapInArrow(run, schema))
 
 
 def read_json_files(spark: SparkSession, folder: str, prefix: str = "s3", path: str = "", id_field: str = "id", stream: bool = False) -> DataFrame:
