@@ -34,7 +34,7 @@ END_ID = 2
 #: Words whose ids a task keeps at hand; beyond it starts anew.
 CACHE_WORDS = 800_000
 #: New words in one call of the tokenizer.
-GROUP = 50
+GROUP = 150
 PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -70,15 +70,26 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        tails = {w: tail for w in new if (tail := _tail(w)) and len(tail) < len(w)}
-        heads = {w[: len(w) - len(tails[w])] if w in tails else w for w in new} | set(tails.values())
-        plain, other = [], []
-        for w in heads.difference(self.words):
+        plain, other, tails = [], [], {}
+        heads = list(new)
+        known = self.words
+        for w in heads:  # grows by heads and tails
             t = w.decode()
-            if t.isalpha() and max(t) < "\u0250" and "\u0130" not in t:
-                plain.append((t.lower(), w))
-            else:
-                other.append(t)
+            if t.isalpha():
+                if t.isascii() and t.islower():
+                    plain.append((t, w))
+                    continue
+                if max(t) < "\u0250" and "\u0130" not in t:
+                    plain.append((t.lower(), w))
+                    continue
+            elif tail := _tail(w):
+                tails[w] = tail
+                for part in (w[: len(w) - len(tail)], tail):
+                    if part not in known and part not in new:
+                        new.add(part)
+                        heads.append(part)
+                continue
+            other.append(t)
         for i in range(0, len(plain), 5000):
             groups = [plain[j : j + GROUP] for j in range(i, min(i + 5000, len(plain)), GROUP)]
             for group, found in zip(groups, self.plain.encode_batch_fast([" ".join(t for t, _ in g) for g in groups], add_special_tokens=False), strict=True):
@@ -94,7 +105,7 @@ class WordTokenizer:
         for i in range(0, len(other), 5000):
             part = other[i : i + 5000]
             self.words.update(zip((w.encode() for w in part), self._ids(part), strict=True))
-        for w, tail in tails.items():
+        for w, tail in tails.items():  # neither part has such a tail itself
             self.words[w] = self.words[w[: len(w) - len(tail)]] + self.words[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -109,7 +120,7 @@ class WordTokenizer:
         lacking = [i for i, ids in enumerate(found) if None in ids]
         self._learn({w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None})
         for i in lacking:
-            found[i] = list(map(get, split[i]))
+            found[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
         return [(self._ids([r.decode()])[0] if all_ else b"".join(ids)) + self.end for r, all_, ids in zip(raw, whole, found, strict=True)]
 
 
