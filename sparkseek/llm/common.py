@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import sparkseek
+from sparkseek.shipping import ship  # noqa: F401
 
 #: Words are runs of anything but ASCII space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,7 +35,7 @@ def durable(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # what was shuffled for it is needed no more
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a new plan: the setting counts when a plan is made
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
@@ -71,16 +69,3 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, count: Column, total:
     got = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[got[c].alias(c) for c in others])
 
-
-def ship(spark: SparkSession) -> None:
-    """Give Python workers on all machines this package, once for each SparkContext."""
-    context = spark.sparkContext
-    if getattr(context, "_sparkseek_shipped", False):
-        return
-    package = Path(sparkseek.__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="sparkseek-package-")) / "sparkseek_package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._sparkseek_shipped = True
