@@ -185,7 +185,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_frames: int, max_error: floa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "first", "offset", "bit_error"])
 
 
-def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] = samples_of_wav, id_col: str = "doc_id", audio_col: str = "audio") -> DataFrame:
+def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] = samples_of_wav, id_col: str = "doc_id", audio_col: str = "audio", min_votes: int = MIN_VOTES, min_frames: int = MIN_FRAMES, max_error: float = MAX_BIT_ERROR) -> DataFrame:
     """One row for each recording: id, n_frames, class_id (least id with equal fingerprints), component_id (least id reachable by links), n_links,
     and, for the linked recording with the least bit error, match_id, match_offset (frames) and bit_error."""
     prints = durable(fingerprints(recordings, samples, id_col, audio_col))
@@ -200,11 +200,11 @@ def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] =
     votes = join_hot(numbers, first_holders, "number", F.col("n"), numbers.count(), -1 - F.abs(F.xxhash64("id", "place") % 1_000_000_007)).where("first <> id")
     votes = votes.groupBy("id", "first", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
     # the histogram's peak for each pair, the least offset of equal ones
-    peaks = votes.groupBy("id", "first").agg(F.max_by("offset", F.col("votes") * 2**32 - F.col("offset")).alias("offset"), F.max("votes").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    peaks = votes.groupBy("id", "first").agg(F.max_by("offset", F.col("votes") * 2**32 - F.col("offset")).alias("offset"), F.max("votes").alias("votes")).where(F.col("votes") >= min_votes)
     own = classes.select(F.col("class_id").alias("id"), F.col("prints").alias("own"))
     its = classes.select(F.col("class_id").alias("first"), F.col("prints").alias("its"))
     pairs = durable(peaks.select("id", "first", "offset")).join(own, "id").join(its, "first").select("id", "first", "offset", "own", "its")
-    links = durable(pairs.mapInArrow(lambda b: _aligned(b, MIN_FRAMES, MAX_BIT_ERROR), "id long, first long, offset long, bit_error double"))
+    links = durable(pairs.mapInArrow(lambda b: _aligned(b, min_frames, max_error), "id long, first long, offset long, bit_error double"))
     roots = components(links.select(F.col("id").alias("a"), F.col("first").alias("b")))
     best = F.min_by(F.struct(F.col("first").alias("match_id"), F.col("offset").alias("match_offset"), "bit_error"), F.struct("bit_error", "first"))
     matched = links.groupBy("id").agg(F.count("*").alias("n_links"), best.alias("best")).withColumnRenamed("id", "class_id")

@@ -27,6 +27,7 @@ from sparkseek.llm.common import ship
 PROFILE = 300
 UNKNOWN = "und"
 _BITS = 21  # of a code point
+_BLANK = 1  # no letter, and not 0, so that "a" and " a" have different codes
 
 
 @lru_cache(maxsize=1)
@@ -42,10 +43,11 @@ def ngrams(text: str) -> np.ndarray:
     c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one blank between words
     if len(c) < 3:
         return np.zeros(0, np.int64)
-    one = c[c != 0]
+    letter = c != 0
+    c = np.where(letter, c, _BLANK)
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
-    return np.concatenate((one, two, three[c[1:-1] != 0]))
+    return np.concatenate((c[letter], two, three[letter[1:-1]]))
 
 
 def _most(codes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
