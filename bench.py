@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 import numpy as np
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 from sparkseek import queries as core
 from sparkseek.operators.keyword import KeywordIndex
+from sparkseek.operators.store import DocumentStore
 from sparkseek.operators.vector import knn_many
+from sparkseek.plans.schema import DOCUMENT
+from sparkseek.sources.generated import synthetic
+from sparkseek.streaming.ingest import ingest
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -51,8 +56,13 @@ def main() -> None:
         asked = vectors.where("vec_id < 200").select("vec_id", "embedding")
         more["knn_many_200"] = round(timed(lambda: knn_many(vectors, asked, 10, "vec_id", "embedding").collect()), 3)
         exact, quick = core.knn_exact(spark, SF_DIR).collect(), core.knn_quantized(spark, SF_DIR).collect()
+        with tempfile.TemporaryDirectory() as folder:
+            synthetic(spark, 20_000).write.parquet(f"{folder}/feed")
+            store = DocumentStore(spark, f"{folder}/store", DOCUMENT)
+            feed = spark.readStream.schema(DOCUMENT).parquet(f"{folder}/feed")
+            more["stream_ingest_20000"] = round(timed(lambda: ingest(feed, store, f"{folder}/checkpoint").awaitTermination()), 3)
         queries |= more
-        extra = {"search_queries_per_s": round(200 / more["search_many_200"], 1), "quantized_recall_at_10": float(np.mean([r.vec_id in {x.vec_id for x in quick} for r in exact]))}
+        extra = {"ingest_rows_per_s": round(20_000 / more["stream_ingest_20000"]), "search_queries_per_s": round(200 / more["search_many_200"], 1), "quantized_recall_at_10": float(np.mean([r.vec_id in {x.vec_id for x in quick} for r in exact]))}
     else:
         extra = {}
     print(json.dumps({"metric": "headline_total", "value": round(sum(queries.values()), 3), "unit": "sec", "queries": queries, "sf": os.path.basename(SF_DIR.rstrip("/")), **extra}))
