@@ -86,6 +86,18 @@ def hash_embed() -> Callable[[Column], Column]:
     return embed
 
 
+class HashEmbedder:
+    """The default embedder. Another one needs the same three members: a length, one text's vector, and a column function."""
+
+    dimensions = DIMENSIONS
+
+    def embed(self, text: str) -> list[float]:
+        return [float(x) for x in hash_embed_array(text)]
+
+    def column(self, text: Column) -> Column:
+        return hash_embed()(text)
+
+
 def topk_dot(query: np.ndarray, k: int, key: str, vector: str) -> Callable[[Iterator], Iterator]:
     """For mapInArrow: each batch's k best rows by inner product, by one matrix product."""
     import pyarrow as pa

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.hashing import shard_of
 from sparkseek.functions.text import query_terms
-from sparkseek.functions.vectors import DIMENSIONS, hash_embed, hash_embed_array
+from sparkseek.functions.vectors import HashEmbedder
 from sparkseek.operators import aggregate as agg
 from sparkseek.operators import hybrid, tdigest, vector
 from sparkseek.operators.keyword import B, K1, KeywordIndex
@@ -57,6 +57,7 @@ class Engine:
     bm25_k1: float = K1
     bm25_b: float = B
     vector_mode: str = "exact"  # or "quantized"
+    embedder: HashEmbedder = field(default_factory=HashEmbedder)
     slice_timeout_ms: int | None = None
     placement: Placement = field(default_factory=lambda: Placement(1))
     auth: Auth = field(default_factory=Auth)
@@ -85,14 +86,14 @@ class Engine:
     def vectors(self) -> DataFrame:
         """doc_key, slice, vector and, in the quantized mode, bits and correction."""
         if self._vectors is None:
-            own = self.docs.select("doc_key", "slice", hash_embed()(searchable_text()).alias("vector"))
+            own = self.docs.select("doc_key", "slice", self.embedder.column(searchable_text()).alias("vector"))
             if self.vector_mode == "quantized":
-                own = own.join(vector.quantize(own, DIMENSIONS).drop("vector"), "doc_key")
+                own = own.join(vector.quantize(own, self.embedder.dimensions).drop("vector"), "doc_key")
             self._vectors = own
         return self._vectors
 
     def embed(self, text: str) -> list[float]:
-        return [float(x) for x in hash_embed_array(text)]
+        return self.embedder.embed(text)
 
     # plans
 
@@ -227,8 +228,8 @@ class Engine:
     def vector_search(self, query: Sequence[float], k: int = vector.DEFAULT_K, conditions: Sequence[Condition] | None = None, token: str | None = None) -> Result:
         self.auth.require(token, "read")
         validate(conditions or ())
-        if len(query) != DIMENSIONS:
-            raise ValueError(f"query vector has {len(query)} dimensions, the index has {DIMENSIONS}")
+        if len(query) != self.embedder.dimensions:
+            raise ValueError(f"query vector has {len(query)} dimensions, the index has {self.embedder.dimensions}")
         k = k or vector.DEFAULT_K
 
         def job(slice_: int | None):

@@ -65,6 +65,22 @@ def test_quantized_mode(spark):
     assert keys(e.vector_search(e.embed("USA"), 2)) == ["c", "e"]
 
 
+def test_another_embedder(spark):
+    from pyspark.sql import functions as F
+
+    class Length:
+        dimensions = 2
+
+        def embed(self, text):
+            return [1.0, float(len(text))]
+
+        def column(self, text):
+            return F.array(F.lit(1.0), F.length(text).cast("double"))
+
+    e = Engine(docs(spark, [("a", "x", 1.0, 1), ("b", "xxxxxxxx", 1.0, 1)]), embedder=Length())
+    assert keys(e.vector_search(e.embed("xx"), 1)) == ["b"] and keys(e.hybrid_search("x", 2)) == ["a", "b"]
+
+
 def test_aggregates(engine):
     assert engine.aggregate().count == 5 and engine.aggregate(query="!!!").count == 0 and engine.aggregate(query="usa").count == 2
     assert engine.aggregate("value_counts", "origin").buckets == {"France": 3, "USA": 2}
