@@ -99,9 +99,9 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(pieces + np.uint64(k))
 
 
-def slices(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, *text_columns: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about SLICE_BYTES of text."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0), np.int64)
+    sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0), np.int64) for c in text_columns)
     part = np.cumsum(sizes) // SLICE_BYTES
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges], [*edges, batch.num_rows]):
