@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import ship
+from sparkseek.llm.textscan import scan, slices
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
@@ -35,6 +36,7 @@ END_ID = 2
 CACHE_WORDS = 800_000
 #: New words in one call of the tokenizer.
 GROUP = 150
+_SPACE = b" \t\n\x0b\x0c\r"
 PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -108,20 +110,42 @@ class WordTokenizer:
         for w, tail in tails.items():  # neither part has such a tail itself
             self.words[w] = self.words[w[: len(w) - len(tail)]] + self.words[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        raw = [(t or "").encode() for t in texts]
-        whole = [any(s in r for s in self.special) for r in raw]
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = texts.fill_null("")
+        found = scan(texts)
+        raw = found.data.tobytes()
+        if any(s in raw for s in self.special):
+            return [self._whole(t) for t in texts.to_pylist()]
         # lower case is the tokenizer's own; before it come only compositions, of which combining marks take part
-        split = [[] if all_ else (r if b"\xcc" in r or b"\xcd" in r else r.lower()).split() for r, all_ in zip(raw, whole, strict=True)]
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        if not len(found.begin):
+            return [self.end] * len(texts)
+        # each word with the white space after it: neighbours in one buffer, of which Arrow tells the different ones
+        offsets = np.append(found.begin, len(raw)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(found.begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        get = self.words.get
-        found = [list(map(get, ws)) for ws in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        self._learn({w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in lacking:
-            found[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return [(self._ids([r.decode()])[0] if all_ else b"".join(ids)) + self.end for r, all_, ids in zip(raw, whole, found, strict=True)]
+        ids = list(map(self.words.get, different))
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        if lacking:
+            bare = [different[i].rstrip(_SPACE) for i in lacking]
+            self._learn({w for w in bare if w not in self.words})
+            for i, w in zip(lacking, bare, strict=True):
+                ids[i] = self.words[different[i]] = self.words[w]
+        length = np.array([len(x) >> 2 for x in ids])
+        start = np.cumsum(length) - length
+        index = words.indices.to_numpy()
+        own = length[index]
+        before = np.concatenate(([0], np.cumsum(own)))  # tokens before each word
+        tokens = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[index] - before[:-1], own) + np.arange(before[-1])]
+        edges = before[found.first].tolist()
+        return [tokens[i:j].tobytes() + self.end for i, j in zip(edges, edges[1:])]
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids([text])[0] + self.end
 
 
 def _tail(word: bytes) -> bytes:
@@ -207,7 +231,7 @@ class Packer:
                 yield sequence
 
 
-def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str | None]], list[bytes]]], capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[bytes]]], capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece, in the columns of PIECES; with_ids adds the piece's token ids.
 
     tokenizer() is called in each task and gives a function from texts to their ids as bytes.
@@ -234,9 +258,8 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str | None]], l
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
         for b in batches:
-            for k in range(0, b.num_rows, 500):  # bounds the tokens in memory
-                part = b.slice(k, 500)
-                for doc in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for part in slices(b, 1):  # bounds the tokens in memory
+                for doc in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     for sequence in packer.place(doc, len(doc[1]) // 4):
                         put(sequence)
                 if rows:
