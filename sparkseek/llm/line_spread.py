@@ -19,7 +19,7 @@ from sparkseek.llm.common import durable, join_hot
 MIN_SITES = 10
 LOG_REGISTERS = 12
 BAND = 0.1
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_ENDS = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
@@ -28,14 +28,20 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """A digest of the line without white space at its ends; null for a blank line."""
-    bare = F.regexp_replace(line, _ENDS, "")
+    bare = F.btrim(line, F.lit(_ENDS))
     return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """key, n: the digests of lines on at least min_sites sites, and how often they occur."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """id, site, keys: the digests of a document's lines, blank ones left out."""
     site = F.coalesce(F.concat(F.lit("s"), F.col(site_col)), F.lit("n"))
-    lines = docs.select(site.alias("site"), F.explode(_lines(F.col(text_col))).alias("line")).select("site", _key(F.col("line")).alias("key")).where("key is not null")
+    keys = F.filter(F.transform(_lines(F.col(text_col)), _key), lambda k: k.isNotNull())
+    return docs.select(F.col(id_col).alias("id"), site.alias("site"), keys.alias("keys"))
+
+
+def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """key, n: the digests of lines on at least min_sites sites, and how often they occur. keys: as of keyed()."""
+    lines = keys.select("site", F.explode("keys").alias("key"))
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("sites"), F.count("*").alias("n"))
     spread = durable(spread.where(F.col("sites") >= min_sites * (1 - BAND)))
     sure = F.col("sites") > min_sites * (1 + BAND)
@@ -47,12 +53,13 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "so
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_lines, n_removed, kept (the lines that stay, joined by newlines)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
-    found = durable(boilerplate(docs, min_sites, "site", "text"))
-    own = docs.select("id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key")).where("key is not null")
+    keys = durable(keyed(docs, id_col, site_col, text_col))
+    found = durable(boilerplate(keys, min_sites))
+    own = keys.select("id", F.explode("keys").alias("key"))
     spread = F.encode(F.rpad(F.coalesce(F.col("id").cast("string"), F.lit("")), 40, "."), "UTF-8")  # longer than any digest
     total = found.agg(F.sum("n")).first()[0] or 0
     gone = join_hot(own, found, "key", F.col("n"), total, spread).groupBy("id").agg(F.collect_set("key").alias("gone"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = docs.join(gone.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
     lines = _lines(F.col("text"))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False))))
