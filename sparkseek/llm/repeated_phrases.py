@@ -102,9 +102,11 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["route", "segment", "windows", "id", "start", "times"])
 
     for b in batches:
-        for id_, text, anchors, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if not anchors:
+        own = zip(_plain(b.column(0)), _plain(b.column(1)), _lists(b.column(2)), _lists(b.column(3)), strict=True)
+        for id_, text, anchors, places in own:
+            if anchors is None or not len(anchors):
                 continue
+            anchors, places = anchors.tolist(), places.tolist()
             words = text.encode().split()
             for anchor, place in zip(anchors, places, strict=True):
                 hot, place = place & 1, place >> 1
@@ -127,45 +129,88 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 class Shard:
-    """Segments, and the automaton of the windows that recur in them."""
+    """Segments by route, and the automaton of the passages that recur in them.
+
+    Where a route has one segment, seen more than once, the segment is a passage that recurs as a whole. Where it has
+    several, the windows that recur in them are the passages.
+    """
 
     def __init__(self, window: int):
-        self.window, self.words, self.segments = window, {}, {}
+        self.window, self.words, self.routes, self.size = window, {}, {}, 0
 
-    def add(self, segment: bytes, n: int, id_: int, start: int, times: int) -> None:
+    def add(self, route: int, segment: bytes, n: int, id_: int, start: int, times: int) -> None:
         """Equal segments count together, at their first occurrence: all windows of the others are repeated."""
-        if known := self.segments.get(segment):
+        segments = self.routes.setdefault(route, {})
+        if known := segments.get(segment):
             known[4] += times
             if (id_, start) < (known[2], known[3]):
                 known[2:4] = id_, start
         else:
             words = self.words
-            self.segments[segment] = [tuple([words.setdefault(w, len(words)) for w in segment.split(b" ")]), n, id_, start, times]
+            segments[segment] = [tuple([words.setdefault(w, len(words)) for w in segment.split(b" ")]), n, id_, start, times]
+            self.size += 1
+
+    def passages(self) -> Iterator[tuple[tuple, tuple[int, int]]]:
+        """Words of a passage and where it first occurs."""
+        for segments in self.routes.values():
+            if len(segments) == 1:
+                ((words, _, id_, start, times),) = segments.values()
+                if times > 1:
+                    yield words, (id_, start)
+                continue
+            seen: dict[tuple, list] = {}
+            for words, n, id_, start, times in segments.values():
+                for j in range(n):
+                    window, at = words[j : j + self.window], (id_, start + j)
+                    if known := seen.get(window):
+                        known[0] += times
+                        if at < known[1]:
+                            known[1] = at
+                    else:
+                        seen[window] = [times, at]
+            yield from ((window, at) for window, (times, at) in seen.items() if times > 1)
 
     def first_occurrences(self) -> Iterator[tuple[int, int]]:
-        """(id, start) of the windows, one for each segment at most, that are no repeats."""
+        """id and place (start * 64 + windows) of windows, at the first of equal segments, that are no repeats."""
         import ahocorasick
 
-        seen: dict[tuple, list] = {}
-        for words, n, id_, start, times in self.segments.values():
-            for j in range(n):
-                window, at = words[j : j + self.window], (id_, start + j)
-                if known := seen.get(window):
-                    known[0] += times
-                    if at < known[1]:
-                        known[1] = at
-                else:
-                    seen[window] = [times, at]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, (times, at) in seen.items():
-            if times > 1:
-                automaton.add_word(window, at)
-        seen.clear()
+        for words, at in self.passages():
+            automaton.add_word(words, (len(words), at))
         if len(automaton):
             automaton.make_automaton()
-        for words, n, id_, start, _ in self.segments.values():
-            repeats = {end - self.window + 1 for end, at in automaton.iter(words) if at != (id_, start + end - self.window + 1)} if len(automaton) else ()
-            yield from ((id_, start + j) for j in range(n) if j not in repeats)
+        for segments in self.routes.values():
+            for words, n, id_, start, _ in segments.values():
+                repeats = [False] * n
+                for end, (length, at) in automaton.iter(words) if len(automaton) else ():
+                    first = end - length + 1
+                    if at != (id_, start + first):
+                        windows = length - self.window + 1
+                        repeats[first : first + windows] = [True] * windows
+                if not any(repeats):
+                    yield id_, start * 64 + n
+                    continue
+                j = 0
+                while j < n:
+                    if repeats[j]:
+                        j += 1
+                        continue
+                    k = j
+                    while k < n and not repeats[k]:
+                        k += 1
+                    yield id_, (start + j) * 64 + k - j
+                    j = k
+
+
+def _plain(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Each row's numbers; None for a null."""
+    offsets, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
+    for valid, a, b in zip(column.is_valid().to_numpy(zero_copy_only=False).tolist(), offsets, offsets[1:]):
+        yield values[a:b] if valid else None
 
 
 def _match(batches: Iterator[pa.RecordBatch], window: int, shard_segments: int) -> Iterator[pa.RecordBatch]:
@@ -173,20 +218,20 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, shard_segments: int)
 
     def out() -> pa.RecordBatch:
         found = list(shard.first_occurrences())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["id", "start"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["id", "place"])
 
     for b in batches:
-        for route, *segment in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if route != last and len(shard.segments) >= shard_segments:
+        for route, *segment in zip(*map(_plain, b.columns), strict=True):
+            if route != last and shard.size >= shard_segments:
                 yield out()
                 shard = Shard(window)
-            shard.add(*segment)
+            shard.add(route, *segment)
             last = route
     yield out()
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """Every row of docs as id, text, stretches (places of windows whose anchor recurs) and firsts (starts of those of them that are first occurrences)."""
+    """Every row of docs as id, text, stretches (places of windows whose anchor recurs) and firsts (places of those of them that are first occurrences)."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -198,22 +243,30 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # both joins with the documents read one and the same shuffle of their texts
     segments = docs.join(own, "id", "left").select("id", "text", "anchors", "places").mapInArrow(lambda b: _segments(b, window), "route long, segment binary, windows long, id long, start long, times long")
     segments = segments.repartition("route").sortWithinPartitions("route")
-    firsts = segments.mapInArrow(lambda b: _match(b, window, SHARD_SEGMENTS), "id long, start long")
-    firsts = firsts.groupBy("id").agg(F.collect_set("start").alias("firsts"))
+    firsts = segments.mapInArrow(lambda b: _match(b, window, SHARD_SEGMENTS), "id long, place long")
+    firsts = firsts.groupBy("id").agg(F.collect_set("place").alias("firsts"))
     lists = own.select("id", F.transform("places", lambda x: F.shiftright(x, 1)).alias("stretches")).join(firsts, "id", "left")
     return docs.join(lists, "id", "left")
 
 
-def _covered(n: int, places: list[int], firsts: list[int], window: int) -> np.ndarray:
+def _within(n: int, places: np.ndarray) -> np.ndarray:
+    """For each of n windows whether it is in one of the places."""
+    edges = np.zeros(n + 1, np.int32)
+    start = places >> 6
+    np.add.at(edges, start, 1)
+    np.add.at(edges, start + (places & 63), -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def _covered(n: int, places: np.ndarray, firsts: np.ndarray | None, window: int) -> np.ndarray:
     """For each of n words whether a repeated window covers it."""
-    repeat = np.zeros(n + 1, bool)
-    for p in places or ():
-        repeat[p >> 6 : (p >> 6) + (p & 63)] = True
-    repeat[firsts or []] = False
-    edges = np.zeros(n + window + 1, np.int32)
-    at = np.flatnonzero(repeat)
-    edges[at] += 1
-    edges[at + window] -= 1
+    windows = n - window + 1
+    repeat = _within(windows, places)
+    if firsts is not None:
+        repeat &= ~_within(windows, firsts)
+    edges = np.zeros(n + 1, np.int32)
+    edges[:windows] += repeat
+    edges[window:] -= repeat
     return np.cumsum(edges)[:n] > 0
 
 
@@ -223,9 +276,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, places, firsts in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, places, firsts in zip(_plain(b.column(1)), _lists(b.column(2)), _lists(b.column(3)), strict=True):
                 words = (text or "").encode().split()
-                gone = _covered(len(words), places, firsts, window) if places else np.zeros(len(words), bool)
+                gone = np.zeros(len(words), bool) if places is None else _covered(len(words), places, firsts, window)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 if len(edges):
                     ends = [0, *edges.tolist(), len(words)]
