@@ -33,7 +33,7 @@ from sparkseek.llm.textscan import scan, slices
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Words whose ids a task keeps at hand; beyond it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: New words in one call of the tokenizer.
 GROUP = 150
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -58,8 +58,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # the same model in memory
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).astype("<u4").tobytes()
@@ -128,13 +127,11 @@ class WordTokenizer:
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        different = [w.rstrip(_SPACE) for w in different]
         ids = list(map(self.words.get, different))
-        lacking = [i for i, x in enumerate(ids) if x is None]
-        if lacking:
-            bare = [different[i].rstrip(_SPACE) for i in lacking]
-            self._learn({w for w in bare if w not in self.words})
-            for i, w in zip(lacking, bare, strict=True):
-                ids[i] = self.words[different[i]] = self.words[w]
+        if None in ids:
+            self._learn({w for w, x in zip(different, ids, strict=True) if x is None})
+            ids = [self.words[w] if x is None else x for w, x in zip(different, ids, strict=True)]
         length = np.array([len(x) >> 2 for x in ids])
         start = np.cumsum(length) - length
         index = words.indices.to_numpy()
@@ -258,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[byte
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
         for b in batches:
-            for part in slices(b, 1):  # bounds the tokens in memory
+            for part in slices(b, 1, size=2 << 20):  # bounds the tokens in memory
                 for doc in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     for sequence in packer.place(doc, len(doc[1]) // 4):
                         put(sequence)

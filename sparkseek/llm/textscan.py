@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -19,7 +19,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _BASE modulo 2**64 and of its inverse."""
     inverse = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -99,10 +99,10 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(pieces + np.uint64(k))
 
 
-def slices(batch: pa.RecordBatch, *text_columns: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, *text_columns: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text."""
     sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0), np.int64) for c in text_columns)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // size
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges], [*edges, batch.num_rows]):
         if b > a:
