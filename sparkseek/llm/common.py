@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.shipping import ship  # noqa: F401
+from sparkseek import shipping
 
 #: Words are runs of anything but ASCII space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows; so there are HOT_SHARE hot keys at most.
@@ -40,6 +43,12 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
+def ship(spark: SparkSession) -> None:
+    """The package for Python workers, and batches of a bounded size for them, however long the texts."""
+    shipping.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared checkpoint folder and read again."""
     spark = df.sparkSession

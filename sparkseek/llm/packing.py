@@ -33,7 +33,7 @@ from sparkseek.llm.textscan import scan, slices
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Words whose ids a task keeps at hand; beyond it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 #: New words in one call of the tokenizer.
 GROUP = 150
 _SPACE = b" \t\n\x0b\x0c\r"

@@ -37,7 +37,7 @@ MAX_LABELLED, MAX_POOL = 10_000, 10_000
 ROUNDS, SHARE, SURE = 5, 0.05, 0.95
 #: Documents whose calibrated probability of being good is below this go.
 THRESHOLD = 0.5
-LANG_SLOTS, SOURCE_SLOTS = 32, 256
+LANG_SLOTS, SOURCE_SLOTS = 32, 64
 RIDGE = 1.0
 
 #: ASCII characters that are no letters; letters differ by language, not by quality.
