@@ -3,14 +3,17 @@
 1. Fingerprints. Audio is cut into overlapping windowed frames, whose spectra are summed by pitch class to 12 values.
    Filters over the image of frames by classes (sums of rectangles, from an integral image) are quantised
    to two bits each, Gray-coded; 16 of them make one 32-bit number for each frame.
-2. Candidates. Each number's first holder is the recording with the least id that has it, at its first
-   place. A recording votes for (first holder, offset) with each of its numbers: an offset histogram. One posting
-   for each number keeps work in proportion to the audio: groups of copies vote for one recording, not for all pairs.
-3. Alignment. At the best offset for each first holder, the two are compared bit by bit; they are linked if some
-   stretch of at least ``MIN_FRAMES`` frames has a bit error of ``MAX_BIT_ERROR`` at most. Links make components.
-
-This is an index, not a search of all pairs: tests measure its recall against brute force. Recordings with equal
-fingerprints are one class, by a 128-bit hash, before all this.
+2. Candidates. A recording votes for (earlier recording, offset) with each of its frames, once for every frame of the
+   other that has the same number: an offset histogram. Every holder and every place of a number counts. Recordings are
+   dealt into blocks, and every two blocks meet in one task, which holds their numbers sorted: no votes are shuffled, and
+   a common number is met in as many tasks as there are pairs of blocks.
+3. Alignment. At every offset with ``MIN_VOTES`` votes, and its neighbours, the two are compared bit by bit; they are
+   linked if some stretch of at least ``MIN_FRAMES`` frames has a bit error of ``MAX_BIT_ERROR`` at most. Links make
+   components. A task hands on each recording's number of links, its best one, and a spanning forest, not all links.
+
+Votes are the only index: pairs without two equal numbers at one offset are not compared; tests measure the recall
+against brute force. The number of votes grows with the square of the input, and so do reading and shuffle once there
+are more than ``MIN_BLOCKS`` blocks. Recordings with equal fingerprints are one class, by a 128-bit hash, before all this.
 
 Defined cases: null or empty audio has no frames and links with nothing; audio shorter than a frame is padded with
 silence. Rows that share an id must share the audio, as repeated rows do; null ids link with nothing. An empty
@@ -39,6 +42,8 @@ CLASSES = 12
 MIN_VOTES, MIN_FRAMES, MAX_BIT_ERROR = 2, 8, 0.15
 #: Frames whose spectra are in memory at once.
 BLOCK = 2048
+#: Frames of a block of recordings, about; the least number of blocks; votes, or compared frames, in memory at once.
+BLOCK_FRAMES, MIN_BLOCKS, MAX_VOTES = 2 << 20, 12, 2 << 20
 
 #: Shape, first class, classes and frames of each filter.
 FILTERS = [
@@ -160,54 +165,178 @@ def fingerprints(recordings: DataFrame, samples: Callable[[bytes], np.ndarray],
     return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, "id long, prints binary, whole binary")
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each recording's distinct numbers, with the place where each comes first."""
-    for b in batches:
-        for k in range(0, b.num_rows, 2000):
-            part = b.slice(k, 2000)
-            rows = [np.unique(np.frombuffer(p, "<u4"), return_index=True) for p in part.column(1).to_pylist()]
-            ids = np.repeat(np.asarray(part.column(0)), [len(n) for n, _ in rows])
-            if len(ids):
-                columns = [np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, columns)], names=["id", "number", "place"])
+class _Block:
+    """Recordings of a block, by id, and their frames by number."""
+
+    def __init__(self, ids: np.ndarray, prints: list[np.ndarray]) -> None:
+        order = np.argsort(ids, kind="stable")
+        prints = [prints[i] for i in order]
+        self.ids = ids[order]
+        self.sizes = np.array([len(p) for p in prints], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.frames = np.concatenate([*prints, np.zeros(0, np.uint32)]).astype(np.uint32)
+        self.owner = np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes)
+        self.by_number = np.argsort(self.frames, kind="stable")
+        self.sorted = self.frames[self.by_number]
+
+    def holders(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each number, from where and how often it stands in ``sorted``."""
+        low = np.searchsorted(self.sorted, numbers, "left")
+        return low, np.searchsorted(self.sorted, numbers, "right") - low
+
+    def part(self, start: int, stop: int) -> _Block:
+        return _Block(self.ids[start:stop], [self.frames[self.starts[i] : self.starts[i + 1]] for i in range(start, stop)])
+
+
+def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each start, as many as counted."""
+    before = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(starts - before, counts)
+
+
+def _votes(a: _Block, b: _Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(recording of a, recording of b, offset of b's frame i to a's frame i + offset, votes), each once; a pair's offsets come together.
+
+    With ``same``, a is b, and of each two recordings only the later one stands first."""
+    low, n = np.zeros(len(a.frames), np.int64), np.zeros(len(a.frames), np.int64)
+    low[a.by_number], n[a.by_number] = b.holders(a.sorted)
+    ends = np.concatenate(([0], np.cumsum(n)))[a.starts]
+    shift = int(max(b.sizes, default=0))
+    width = shift + int(max(a.sizes, default=0)) + 1
+    i = 0
+    while i < len(a.ids):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + MAX_VOTES, "right")) - 1)
+        if ends[j] - ends[i] > MAX_VOTES and len(b.ids) > 1:  # one recording with many votes: against halves of b
+            one, half = a.part(i, j), len(b.ids) // 2
+            for start, stop in ((0, half), (half, len(b.ids))):
+                for x, y, *more in _votes(one, b.part(start, stop), False):
+                    keep = (y + start < i) if same else np.ones(len(y), bool)
+                    yield (x + i)[keep], (y + start)[keep], *(m[keep] for m in more)
+        elif ends[j] > ends[i]:
+            at = np.arange(a.starts[i], a.starts[j])
+            if ends[j] - ends[i] > MAX_VOTES:  # two recordings: a histogram over slices of frames
+                total = np.zeros(width, np.int64)
+                step = max(1, MAX_VOTES // max(1, int(n[at].max())))
+                for k in range(0, len(at), step):
+                    f = at[k : k + step]
+                    total += np.bincount(np.repeat(f - a.starts[i], n[f]) - b.by_number[_expand(low[f], n[f])] + shift, minlength=width)
+                offsets = np.flatnonzero(total)
+                x, y, offsets, votes = np.full(len(offsets), i), np.zeros(len(offsets), np.int64), offsets - shift, total[offsets]
+                if not same:
+                    yield x, y, offsets, votes
+            else:
+                its = b.by_number[_expand(low[at], n[at])]
+                own = np.repeat(at, n[at])
+                x, y = a.owner[own].astype(np.int64), b.owner[its].astype(np.int64)
+                key = (x - i) * len(b.ids) + y
+                key = key * width + (own - a.starts[x]) - (its - b.starts[y]) + shift
+                if same:
+                    key = key[y < x]
+                key, votes = np.unique(key, return_counts=True)
+                pair = key // width
+                yield pair // len(b.ids) + i, pair % len(b.ids), key % width - shift, votes
+        i = j
+
+
+def _least_errors(a: _Block, b: _Block, x: np.ndarray, y: np.ndarray, offset: np.ndarray, min_frames: int) -> np.ndarray:
+    """best_stretch(bit_errors(...)) of each row."""
+    start = np.maximum(0, -offset)
+    n = np.minimum(a.sizes[x] - offset, b.sizes[y]) - start
+    out = np.ones(len(x))
+    rows = np.flatnonzero(n >= min_frames)
+    ends = np.concatenate(([0], np.cumsum(n[rows])))
+    k = 0
+    while k < len(rows):
+        stop = max(k + 1, int(np.searchsorted(ends, ends[k] + MAX_VOTES, "right")) - 1)
+        r = rows[k:stop]
+        its = _expand(b.starts[y[r]] + start[r], n[r])
+        own = _expand(a.starts[x[r]] + start[r] + offset[r], n[r])
+        sums = np.cumsum(np.concatenate(([0], np.bitwise_count(a.frames[own] ^ b.frames[its]).astype(np.int64))))
+        first = ends[k:stop] - ends[k]
+        windows = n[r] - min_frames + 1
+        at = _expand(first, windows)
+        out[r] = np.minimum.reduceat(sums[at + min_frames] - sums[at], np.cumsum(windows) - windows) / (32 * min_frames)
+        k = stop
+    return out
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], min_frames: int, max_error: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for id_, first, offset, own, its in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            own, its = np.frombuffer(own, "<u4"), np.frombuffer(its, "<u4")
-            # a neighbouring offset may fit better where copies do not start on a frame's edge
-            error, offset = min((best_stretch(bit_errors(its, own, o), min_frames), abs(o - offset), o) for o in (offset - 1, offset, offset + 1))[::2]
-            if error <= max_error:
-                rows.append((id_, first, offset, error))
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "first", "offset", "bit_error"])
+def _links(a: _Block, b: _Block, same: bool, min_votes: int, min_frames: int, max_error: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(later id, earlier id, offset of the earlier one, bit error) of each linked pair, once."""
+    for x, y, offset, votes in _votes(a, b, same):
+        keep = votes >= min_votes
+        x, y, offset, votes = x[keep], y[keep], offset[keep], votes[keep]
+        if not len(x):
+            continue
+        # a neighbouring offset may fit better where copies do not start on a frame's edge; of equal errors that with more votes counts
+        x, y, votes = np.tile(x, 3), np.tile(y, 3), np.concatenate((votes, np.zeros(2 * len(votes), np.int64)))
+        offset = np.concatenate((offset, offset - 1, offset + 1))
+        error = _least_errors(a, b, x, y, offset, min_frames)
+        good = np.flatnonzero(error <= max_error)
+        later = a.ids[x[good]] > b.ids[y[good]]
+        offset = np.where(later, -offset[good], offset[good])
+        order = np.lexsort((offset, -votes[good], error[good], y[good], x[good]))
+        x, y, error, offset, later = x[good][order], y[good][order], error[good][order], offset[order], later[order]
+        first = np.ones(len(x), bool)
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y = a.ids[x[first]], b.ids[y[first]]
+        yield np.maximum(x, y), np.minimum(x, y), offset[first], error[first]
+
+
+def _summary(links: Iterator[tuple[np.ndarray, ...]]) -> list[tuple]:
+    """(id, first, offset, bit_error, n_links): each id's best link, with their number; and links, with number 0, that join what these do not."""
+    best: dict[int, tuple] = {}
+    count: dict[int, int] = {}
+    root: dict[int, int] = {}
+    forest: list[tuple] = []
+
+    def find(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = v = root[up]
+        return v
+
+    for part in links:
+        for id_, first, offset, error in zip(*(c.tolist() for c in part), strict=True):
+            count[id_] = count.get(id_, 0) + 1
+            if id_ not in best or (error, first) < best[id_][:2]:
+                best[id_] = error, first, offset
+            p, q = find(id_), find(first)
+            if p != q:
+                root[p] = q
+                forest.append((id_, first))
+    out = [(id_, first, offset, error, count[id_]) for id_, (error, first, offset) in best.items()]
+    return out + [(id_, first, None, None, 0) for id_, first in forest if best[id_][1] != first]
+
+
+def _compared(rows: pa.Table, min_votes: int, min_frames: int, max_error: float) -> pa.Table:
+    """The summary of the links between two blocks, or in one."""
+    ids, sides = rows.column("id").to_numpy(), rows.column("block").to_numpy()
+    prints = [np.frombuffer(p, "<u4") for p in rows.column("prints").to_pylist()]
+    blocks = [_Block(ids[sides == s], [prints[i] for i in np.flatnonzero(sides == s)]) for s in np.unique(sides)]
+    pair = rows.column("pair")[0].as_py()
+    out: list[tuple] = []
+    if len(blocks) == 2 or pair[0] == pair[1]:
+        out = _summary(_links(blocks[0], blocks[-1], len(blocks) == 1, min_votes, min_frames, max_error))
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "first", "offset", "bit_error", "n_links"])
 
 
 def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] = samples_of_wav, id_col: str = "doc_id", audio_col: str = "audio", min_votes: int = MIN_VOTES, min_frames: int = MIN_FRAMES, max_error: float = MAX_BIT_ERROR) -> DataFrame:
-    """One row for each recording: id, n_frames, class_id (least id with equal fingerprints), component_id (least id reachable by links), n_links,
-    and, for the linked recording with the least bit error, match_id, match_offset (frames) and bit_error."""
+    """One row for each recording: id, n_frames, class_id (least id with equal fingerprints), component_id (least id reachable by links), n_links (earlier classes it is linked with),
+    and, for the one of these with the least bit error, match_id, match_offset (frames) and bit_error."""
     prints = durable(fingerprints(recordings, samples, id_col, audio_col))
     classes = prints.where("id is not null and whole is not null").groupBy("whole").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.first("prints").alias("prints"))
     classes = durable(classes)
-    numbers = durable(classes.select(F.col("class_id").alias("id"), "prints").mapInArrow(_numbers, "id long, number long, place long"))
-    # of the least id with the number, the place: ids and places go into one decimal, which hash aggregation can hold
-    packed = F.col("id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
-    first_holders = numbers.groupBy("number").agg(F.min(packed.cast("decimal(38,0)")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    holder = F.floor(F.col("least") / F.lit(2**32).cast("decimal(10,0)"))
-    first_holders = durable(first_holders.select("number", "n", holder.cast("long").alias("first"), (F.col("least") - holder.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)")).cast("long").alias("at")))
-    votes = join_hot(numbers, first_holders, "number", F.col("n"), numbers.count(), -1 - F.abs(F.xxhash64("id", "place") % 1_000_000_007)).where("first <> id")
-    votes = votes.groupBy("id", "first", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
-    # the histogram's peak for each pair, the least offset of equal ones
-    peaks = votes.groupBy("id", "first").agg(F.max_by("offset", F.col("votes") * 2**32 - F.col("offset")).alias("offset"), F.max("votes").alias("votes")).where(F.col("votes") >= min_votes)
-    own = classes.select(F.col("class_id").alias("id"), F.col("prints").alias("own"))
-    its = classes.select(F.col("class_id").alias("first"), F.col("prints").alias("its"))
-    pairs = durable(peaks.select("id", "first", "offset")).join(own, "id").join(its, "first").select("id", "first", "offset", "own", "its")
-    links = durable(pairs.mapInArrow(lambda b: _aligned(b, min_frames, max_error), "id long, first long, offset long, bit_error double"))
+    frames = classes.agg(F.sum(F.length("prints") / 4)).first()[0] or 0
+    n_blocks = max(MIN_BLOCKS, -(-int(frames) // BLOCK_FRAMES))
+    dealt = classes.select(F.col("class_id").alias("id"), F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)).cast("int").alias("block"), "prints")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    dealt = dealt.select(F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "block", "id", "prints")
+    links = dealt.groupBy("pair").applyInArrow(lambda t: _compared(t, min_votes, min_frames, max_error), "id long, first long, offset long, bit_error double, n_links long")
+    links = durable(links)
     roots = components(links.select(F.col("id").alias("a"), F.col("first").alias("b")))
     best = F.min_by(F.struct(F.col("first").alias("match_id"), F.col("offset").alias("match_offset"), "bit_error"), F.struct("bit_error", "first"))
-    matched = links.groupBy("id").agg(F.count("*").alias("n_links"), best.alias("best")).withColumnRenamed("id", "class_id")
+    matched = links.where("n_links > 0").groupBy("id").agg(F.sum("n_links").alias("n_links"), best.alias("best")).withColumnRenamed("id", "class_id")
     table = classes.select("whole", "class_id", "members").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(matched, "class_id", "left")
     table = durable(table.select("whole", "class_id", "members", F.coalesce("root", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best"))
     spread = F.encode(F.concat(F.lit("id"), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8")

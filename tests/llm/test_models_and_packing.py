@@ -337,6 +337,43 @@ def test_audio_alignment(spark):
     assert chroma.shared_audio(table.limit(0)).count() == 0
 
 
+def test_audio_shared_past_an_earlier_holder(spark):
+    """Two recordings share audio whose numbers an earlier one holds too, at other offsets."""
+    r = random.Random(2)
+    shared, step = recording(r, 4)[: 240 * chroma.HOP], 48 * chroma.HOP
+    cuts = [shared[k:][:step] for start in range(0, step, step // 3) for k in reversed(range(start, len(shared) - step + 1, step))]
+    rows = [(0, wav(np.concatenate(cuts)))] + [(i, wav(np.concatenate((recording(r, 2 * i), shared, recording(r, 2))))) for i in (1, 2)]
+    out = {x.doc_id: x for x in chroma.shared_audio(spark.createDataFrame(rows, "doc_id long, audio binary"), min_frames=60, max_error=0.05).collect()}
+    assert [out[i].component_id for i in range(3)] == [0, 1, 1]
+    assert (out[2].n_links, out[2].match_id) == (1, 1) and abs(out[2].match_offset + 2 * chroma.RATE // chroma.HOP) <= 1
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_audio_links_are_those_of_all_holders(monkeypatch, most):
+    monkeypatch.setattr(chroma, "MAX_VOTES", most)
+    r = np.random.default_rng(4)
+    prints = [r.integers(0, 40, r.integers(0, 40)).astype(np.uint32) * np.uint32(0x9E3779B1) for _ in range(24)]
+    prints[5][3:20], prints[11] = prints[2][:17] if len(prints[2]) >= 17 else prints[5][3:20], np.concatenate((prints[7], prints[7]))
+    ids = r.permutation(len(prints))
+    blocks = [chroma._Block(ids[k::2], prints[k::2]) for k in (0, 1)]
+    whole = chroma._Block(ids, prints)
+    by_id = dict(zip(ids.tolist(), prints, strict=True))
+    expected = {}
+    for b in by_id:
+        for a in range(b):
+            voted = Counter(int(i - j) for j, x in enumerate(by_id[b]) for i, y in enumerate(by_id[a]) if x == y)
+            tries = {o + d for o, n in voted.items() if n >= 2 for d in (-1, 0, 1)}
+            found = min((chroma.best_stretch(chroma.bit_errors(by_id[a], by_id[b], o), 4) for o in tries), default=1.0)
+            if found <= 0.3:
+                expected[b, a] = pytest.approx(found)
+    in_one = [x for part in chroma._links(whole, whole, True, 2, 4, 0.3) for x in zip(*part, strict=True)]
+    parts = [(blocks[0], blocks[0], True), (blocks[0], blocks[1], False), (blocks[1], blocks[1], True)]
+    in_two = [x for p in parts for part in chroma._links(*p, 2, 4, 0.3) for x in zip(*part, strict=True)]
+    for got in (in_one, in_two):
+        assert len(got) == len(expected) > 10 and {(b, a): e for b, a, _, e in got} == expected
+        assert all(chroma.best_stretch(chroma.bit_errors(by_id[a], by_id[b], o), 4) == pytest.approx(e) for b, a, o, e in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
     from tests.llm.test_exact_and_text import exact_brute, join_brute
