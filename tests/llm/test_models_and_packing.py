@@ -276,6 +276,11 @@ def test_quality(spark):
     assert quality.score(table.limit(0), model).count() == 0
 
 
+def test_many_sources_keep_features_of_their_own():
+    seen = {quality.meta_features("en", f"source-{i}", 10).tobytes() for i in range(200)}
+    assert len(seen) > 100
+
+
 def test_views_teach_each_other():
     """A view with few labels learns from the other's sure rows."""
     r = np.random.default_rng(1)
