@@ -11,7 +11,7 @@ from sparkseek.llm import chroma, exact_dedup, jaccard_join, langid, line_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The rules that the URL query judges by, and terms that label a host as spam for training.
+#: The rules that the URL query judges by, and terms that label a host as spam for training (short ones only as whole words).
 URL_RULES = [
     url_filter.Rule("com/en/", "block"),
     url_filter.Rule("example.com/en/7", "allow"),
@@ -19,7 +19,7 @@ URL_RULES = [
     url_filter.Rule("example.net/de/8", "block"),
     url_filter.Rule("org/es/", "block"),
 ]
-SPAM_TERMS = "spam|pills|casino|viagra|poker|replica|payday|xxx"
+SPAM_TERMS = r"spam|pills|casino|viagra|poker|replica|payday|xxx|(^|[.-])(bets|ads|adult)([.-]|$)"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

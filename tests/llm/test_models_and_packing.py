@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import random
+import re
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.llm import chroma, langid, mixing, packing, quality, url_filter
-from sparkseek.llm.queries import URL_RULES, word_tokenizer_path
+from sparkseek.llm.queries import SPAM_TERMS, URL_RULES, word_tokenizer_path
 from tests.llm.helpers import corpus, docs, words
 
 SF = "/root/testdata/sf0.001"
@@ -240,6 +241,12 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES, model).count() == 0
 
 
+def test_spam_terms_label_every_junk_host():
+    junk_hosts = ["casino-win", "cheap-pills", "spam-farm", "free-bets", "ads-track", "adult-x"]
+    assert all(re.search(SPAM_TERMS, f"m.{h}.example.net") for h in junk_hosts)
+    assert not any(re.search(SPAM_TERMS, f"{h}.example.org") for h in ("downloads", "alphabets", "adulthood", "www.ththon"))
+
+
 def junk(r, i):
     good = [f"{r.choice('abcdefgh')}{r.choice('aeiou')}{r.choice('lmnr')}{i % 10 and ''}" for _ in range(60)]
     if i % 4 == 0:
