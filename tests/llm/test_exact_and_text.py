@@ -141,9 +141,11 @@ def join_brute(rows, n=4, percent=85):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_join(spark, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+@pytest.mark.parametrize(("n", "percent", "small"), [(4, 85, False), (5, 80, True), (2, 60, False), (2, 60, True)])
+def test_join(spark, n, percent, small, monkeypatch):
+    if small:  # large buckets, large groups and buckets of many unlike sets
+        for name, value in {"BUCKET_ROWS": 12, "GROUP_ROWS": 3, "LEADERS": 3}.items():
+            monkeypatch.setattr(jaccard_join, name, value)
     import random
 
     r = random.Random(n)
@@ -179,8 +181,55 @@ def test_signatures_miss_no_pair():
         if b and len(a & b) * 100 >= 85 * len(a | b) and a != b:
             x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
             assert set(jaccard_join.signatures(x, 85).tolist()) & set(jaccard_join.signatures(y, 85).tolist())
-            sets = jaccard_join._Sets([len(x)], [jaccard_join.counts(x).tobytes()])
-            assert sets.near(len(y), jaccard_join.counts(y).tobytes(), np.array([0]), 85).all()
+            for partition in (1, 2):
+                assert set(jaccard_join.signatures(x, 85, partition).tolist()) & set(jaccard_join.signatures(y, 85, partition).tolist())
+            p, q = (jaccard_join.Sketch(len(s), jaccard_join.sketch(s)) for s in (x, y))
+            assert p.near(q, 85) and q.least_difference(p) <= len(a ^ b)
+            assert p.least_difference(jaccard_join.Sketch(3, jaccard_join.sketch(x[:3]))) <= len(x) - 3
+
+
+def members_of(sets, roots):
+    return [(jaccard_join._short(s), root, jaccard_join.Sketch(len(s), jaccard_join.sketch(s))) for s, root in zip(sets, roots, strict=True)]
+
+
+def test_buckets_put_out_members_not_pairs():
+    """A bucket of 1,000 unlike sets is split; one of two families puts out no far pairs, and groups of several parts cover every near pair."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    new = lambda n: np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+    unlike = [new(100) for _ in range(1000)]
+    rows = list(jaccard_join.Bucket(1, members_of(unlike, range(1000)), 85, 256).undecided())
+    assert len(rows) == 1000 and all(x[4] for x in rows)
+    assert list(jaccard_join.Bucket(1, members_of(unlike, range(1000)), 85, None).undecided()) == []
+    one, two = new(200), new(200)
+    families = [np.unique(np.concatenate((base[:-8], new(8)))) for base in (one, two) for _ in range(600)]
+    assert list(jaccard_join.Bucket(1, members_of(families, [0] * 600 + [1] * 600), 85, 256).undecided()) == []
+    near = families + [np.unique(np.concatenate((one[:-20], new(20))))]
+    rows = list(jaccard_join.Bucket(1, members_of(near, [0] * 600 + [1] * 600 + [2]), 85, 256).undecided())
+    assert {x[3] for x in rows} == {0, 2} and len({x[2] for x in rows if x[1]}) == len([x for x in rows if x[1]]) <= 600
+    by_short = dict(zip([m[0] for m in members_of(near, range(1201))], near, strict=True))
+    import pyarrow as pa
+
+    batch = jaccard_join._batch(sorted((g, m, s, root, by_short[s].tobytes()) for g, m, s, root, _ in rows), "grp long, major boolean, short long, root long, elements binary")
+    out = [x for b in jaccard_join._joining(iter([batch]), 85) for x in b.to_pylist()]
+    some = any(jaccard_join.linked(near[-1], x, 85) for x in families[:600])
+    assert isinstance(batch, pa.RecordBatch) and len(out) == some
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    """300 rows each of two near copies: the groups hold one row for each of the two texts."""
+    text = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(text))] * 300 + [(2, " ".join([*text, "more"]))] * 300
+    sizes, whole = [], jaccard_join._Join.verified
+
+    def verified(self, groups):
+        sizes.append(groups.count())
+        return whole(self, groups)
+
+    monkeypatch.setattr(jaccard_join._Join, "verified", verified)
+    out = jaccard_join.link_groups(docs(spark, rows)).collect()
+    assert {x.component_id for x in out} == {1} and len(out) == 600 and sizes == [2]
 
 
 def test_join_edges(spark):
@@ -189,6 +238,13 @@ def test_join_edges(spark):
     out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.link_groups(docs(spark, rows)).collect())
     assert out == [("10", 0, "10"), ("5", 27, "5"), ("5", 27, "5"), ("6", 0, "6"), ("7", 1, "7"), ("8", 1, "7"), ("9", 27, "5"), ("None", 27, "None")]
     assert jaccard_join.link_groups(docs(spark, rows).limit(0)).count() == 0
+    # rows that share an id: each by its own text
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, text), (2, text.upper()), (2, other), (3, other + " x"), (4, None), (None, text)]
+    out = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.link_groups(docs(spark, rows)).collect())
+    assert out == [("1", "1"), ("2", "1"), ("2", "2"), ("3", "2"), ("4", "4"), ("None", "None")]
+    kept = jaccard_join.one_of_each_group(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", text), ("2", other), ("4", ""), ("None", text)])
 
 
 def test_components(spark):
