@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,19 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_order(docs: DataFrame) -> Column:
+    """A row's place in the order that a table was written in, of a DataFrame just read from Spark's Parquet files: the file's number, then the row's in it.
+
+    Other DataFrames give their own order, by partition.
+    """
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    return F.coalesce(part, F.lit(0).cast("long")) * F.lit(1 << 40) + F.col("_metadata.row_index")
+
+
 def join_hot(rows: DataFrame, table: DataFrame, key: str, count: Column, total: int, spread: Column, how: str = "inner") -> DataFrame:
     """rows joined with table, which has one row for each key and, as ``count``, the number of rows with that key.
 

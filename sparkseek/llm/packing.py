@@ -11,7 +11,8 @@ Sequence ids are the partition's number times 2**32 plus a running number, so a
 gives the same ids. Memory: the open sequences of one task, whose number the algorithm keeps low.
 
 Defined cases: a null text is empty; an empty text has one token, the end token; repeated rows are packed
-as often as they come; an empty table gives no rows; other columns are ignored.
+as often as they come, and their pieces are told apart by ``position`` where one is given; a null id is packed like others;
+texts of any length are cut into full sequences; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import ship
@@ -228,11 +229,17 @@ class Packer:
                 yield sequence
 
 
-def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[bytes]]], capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[bytes]]], capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, position: Column | None = None) -> DataFrame:
     """One row for each piece, in the columns of PIECES; with_ids adds the piece's token ids.
 
-    tokenizer() is called in each task and gives a function from texts to their ids as bytes.
+    tokenizer() is called in each task and gives a function from texts to their ids as bytes. ``position`` is a long, different for
+    each row; tasks then pack their rows in its order, and pieces carry it as ``position``. It tells the pieces of several
+    copies of a document apart, and sequences can be read in the order of the first position in them.
     """
+    more = [f"{name} {kind}" for name, kind, wanted in (("ids", "array<long>", with_ids), ("position", "long", position is not None)) if wanted]
+    schema = ", ".join((PIECES, *more))
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.list_(pa.int64()) if name == "ids" else pa.int64() for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = tokenizer(), Packer(capacity)
@@ -242,22 +249,23 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[byte
         def put(sequence: list) -> None:
             nonlocal number
             offset = 0
-            for (doc_id, ids), start, length in sequence:
+            for (doc_id, place, ids), start, length in sequence:
                 own = ids[4 * start : 4 * (start + length)]
-                rows.append((doc_id, start, length, zlib.crc32(own), len(ids) // 4, number, offset, *([np.frombuffer(own, "<u4").astype(np.int64)] if with_ids else [])))
+                extra = {"ids": np.frombuffer(own, "<u4").astype(np.int64)} if with_ids else {}
+                extra["position"] = place
+                rows.append((doc_id, start, length, zlib.crc32(own), len(ids) // 4, number, offset, *(extra[name] for name in names[7:])))
                 offset += length
             number += 1
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * (7 + with_ids)
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             rows.clear()
-            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + ([pa.array(columns[7], pa.list_(pa.int64()))] if with_ids else [])
-            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for b in batches:
             for part in slices(b, 1, size=2 << 20):  # bounds the tokens in memory
-                for doc in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
-                    for sequence in packer.place(doc, len(doc[1]) // 4):
+                for doc in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1)), strict=True):
+                    for sequence in packer.place(doc, len(doc[2]) // 4):
                         put(sequence)
                 if rows:
                     yield batch()
@@ -268,4 +276,8 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], list[byte
         yield batch()
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
+    place = F.lit(None).cast("long") if position is None else position.cast("long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), place.alias("position"))
+    if position is not None:
+        docs = docs.sortWithinPartitions("position")
+    return docs.mapInArrow(run, schema)

@@ -84,7 +84,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.DigestIndex(spark).ingest(read(spark, sf_dir, "documents"))
+    index = exact_dedup.DigestIndex(spark)
+    found = index.ingest(read(spark, sf_dir, "documents"))
+    index.drop()  # a query leaves no table behind; a pipeline over batches keeps it
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

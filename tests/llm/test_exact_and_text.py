@@ -40,7 +40,37 @@ def test_exact_repeats_nulls_and_empty(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in out) == [("1", "1", 3, False), ("1", "1", 3, True), ("2", "2", 2, True), ("3", "2", 2, False), ("None", "1", 3, False), ("None", "None", 1, True)]
     d = docs(spark, rows)
     assert exact_dedup.exact_dedup(d, exact_dedup.DigestIndex(spark)).columns == d.columns
-    assert exact_dedup.DigestIndex(spark).ingest(docs(spark, rows).limit(0)).count() == 0
+    for rows, left in (
+        ([(1, "a"), (None, "a"), (None, "b")], [("1", "a"), ("None", "b")]),
+        ([(1, "a b"), (1, "a  b")], [("1", "a  b")]),
+        ([(1, "a b"), (1, "a\tb"), (1, "a b")], None),
+        ([(1, "a"), (2, "b"), (2, "a")], [("1", "a"), ("2", "b")]),
+        ([(None, "x")] * 3, [("None", "x")]),
+        ([(1, "é" * 3_000_000), (2, " ".join("é" * 3_000_000)), (3, "é" * 2_999_999)], [("2", None), ("3", None)]),
+    ):
+        kept = exact_dedup.exact_dedup(docs(spark, rows).repartition(3), exact_dedup.DigestIndex(spark)).collect()
+        if left is None:
+            assert len(kept) == 1
+        else:
+            assert sorted((str(r.doc_id), r.text if len(r.text) < 9 else None) for r in kept) == left
+
+
+def test_exact_again(spark):
+    """A batch that comes again keeps the same rows and adds nothing; a batch after it does not get them."""
+    index = exact_dedup.DigestIndex(spark)
+    first, second = docs(spark, [(1, "a"), (2, "a"), (3, "b")]), docs(spark, [(4, "a"), (5, "c"), (6, "c")])
+    kept = lambda d, **k: sorted(r.doc_id for r in exact_dedup.exact_dedup(d, index, **k).collect())
+    assert [kept(first), kept(first.repartition(3)), kept(second, batch="two"), kept(first), kept(second, batch="two")] == [[1, 3], [1, 3], [5], [1, 3], [5]]
+    assert index.read().count() == 3
+    # a batch of which only a part was appended before the job was lost
+    index._write(spark.createDataFrame([], index.read().schema), "append")
+    partly = exact_dedup.DigestIndex(spark)
+    partly._write(spark.createDataFrame([(bytes(index.read().where("keep_id = 1").first().digest), 1, 1, "x")], "digest binary, keep_id long, n_points long, batch string"), "append")
+    assert sorted(r.doc_id for r in partly.ingest(first, batch="x").where("kept").collect()) == [1, 3] and partly.read().count() == 2
+    found = index.ingest(first)
+    index.drop()
+    assert found.count() == 3 and not spark.catalog.tableExists(index.table)
+    assert exact_dedup.exact_dedup(first.limit(0), exact_dedup.DigestIndex(spark)).count() == 0
 
 
 def phrases_brute(rows, window=20):

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.llm import chroma, langid, mixing, packing, quality, url_filter
+from sparkseek.llm.common import file_order
 from sparkseek.llm.queries import SPAM_TERMS, URL_RULES, word_tokenizer_path
 from tests.llm.helpers import corpus, docs, words
 
@@ -78,6 +79,25 @@ def test_curriculum(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
     twice = mixing.mix(docs(spark, [(1, "a b"), (1, "a b"), (None, "c")])).collect()
     assert sorted((str(x.doc_id), x.taken) for x in twice) == [("1", 2), ("1", 2), ("None", 1)]
+    # rows that share an id, null ids, whole repeats and a text of megabytes: each row is a document of its own
+    rows = [(1, "a b", None, "x"), (1, "c d e", None, "x"), (1, "a b", None, "x"), (None, "f", None, "x"), (None, "g", None, "x"), (2, "w " * 1_000_000, None, "y"), (3, "h", "en", None), (3, "h", "fr", None)]
+    got = Counter((x.doc_id, x.text[:9], x.lang) for x in mixing.curriculum(docs(spark, rows).repartition(4)).collect())
+    taken = Counter()
+    for x in mixing.mix(docs(spark, rows).repartition(2)).collect():
+        taken[x.doc_id] += len(x.takes)
+    assert sum(got.values()) == sum(taken.values()) and {k: sum(n for g, n in got.items() if g[0] == k) for k in taken if taken[k]} == {k: n for k, n in taken.items() if n}
+
+
+def test_curriculum_without_adaptive_execution_and_in_small_buckets(spark, monkeypatch):
+    rows = corpus(4, 60)
+    expected = sorted(map(str, mixing.curriculum(docs(spark, rows), position_col="position").collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.001)  # more digits
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = mixing.curriculum(docs(spark, rows).repartition(5), position_col="position").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(str, got)) == expected and [x.position for x in got] == sorted(x.position for x in got)
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +152,42 @@ def test_packing(spark, path):
     assert [x for p in whole for x in p.ids] == ids[0]
 
 
+def test_packing_keeps_the_order_of_many_files(spark, path, tmp_path):
+    """Copies of a document are told apart, and sequences follow the order that the rows were written in, file by file."""
+    r = random.Random(1)
+    rows = [(i % 150, " ".join(["word"] * r.randrange(1, 900)), None, None) for i in range(600)] + [(None, "x", None, None)] * 2
+    docs(spark, rows).withColumn("place", F.monotonically_increasing_id()).orderBy("place").repartitionByRange(12, "place").sortWithinPartitions("place").write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # several files in a task, the larger ones first
+    try:
+        mixed = spark.read.parquet(str(tmp_path / "mixed"))
+        order = [x.place for x in mixed.withColumn("_o", file_order(mixed)).orderBy("_o").collect()]
+        out = packing.pack(mixed, lambda: packing.word_tokenizer(path).encode, position=file_order(mixed)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert order == sorted(order) and len({x.position for x in out}) == len(rows)
+    for own in defaultdict(list, {k: [p for p in out if p.position == k] for k in {p.position for p in out}}).values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.doc_id == own[0].doc_id
+            at += p.length
+        assert at == own[0].doc_tokens
+    # a file's rows are packed by one task, in order, so sequences read by first position go through the files in order
+    tasks = defaultdict(set)
+    for p in out:
+        tasks[p.position >> 40].add(p.sequence_id >> 32)
+    assert len(tasks) == 12 and all(len(x) == 1 for x in tasks.values()) and 1 < len({p.sequence_id >> 32 for p in out}) < 12
+    assert packing.pack(docs(spark, [(1, "a"), (1, "a")]), lambda: packing.word_tokenizer(path).encode, position=file_order(docs(spark, rows))).count() == 2
+
+
+def test_packing_of_megabytes(spark, path):
+    text = " ".join(f"w{i % 977}" for i in range(700_000))
+    t = packing.WordTokenizer(path)
+    rows = [(1, text, None, None), (1, text, None, None), (None, "a b", None, None)]
+    out = packing.pack(docs(spark, rows), lambda: packing.word_tokenizer(path).encode).collect()
+    ids = np.frombuffer(t.encode([text])[0], "<u4")
+    assert sum(p.length for p in out if p.doc_id == 1) == 2 * len(ids) and all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in out if p.doc_id == 1)
+
+
 def test_sum_of_squares_rule():
     """The level that a document joins minimises the sum of squared counts."""
     r = random.Random(2)
