@@ -1,21 +1,25 @@
 """Quality by co-training: a classifier of text content and one of page metadata teach each other.
 
 Blum and Mitchell, "Combining labeled and unlabeled data with co-training" (1998). Each view starts from the
-labelled documents. In every round each view scores a pool of unlabelled documents and hands those of which it is
-surest, in the ratio of the labels, to the other view as training rows; a view that is sure of none hands over none. Each view's score is then calibrated on
-labelled rows that trained neither (Platt scaling), and the calibrated log odds of both views are added, less the
-prior that both contain. All documents are scored in one pass over the data, without a shuffle.
-
-The views are fit on samples of bounded size: ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents, those
-with the least hash of their id. Scoring reads every whole text.
-
-Text view: the share of each ASCII digit and symbol, of upper-case letters among letters, of the commonest word, of
-words that repeat the one before and that start with no letter; the mean word length, how fast distinct words grow, repeated lines. Metadata view: language and source by hash, and
-the length that the row states.
-
-Defined cases: a null text is scored as an empty one; null metadata is a value of its own; null labels do not train;
-of several labels of one document the mean counts (a half is no label). With labels of one class, or none, all
-documents are kept and the score is 1. Null ids are scored like others. An empty table gives no rows.
+labelled documents. In every round each view scores all unlabelled documents and hands the ``MOST`` of which it is
+surest, in the ratio of the labels, to the other view as training rows; a view that is sure of none hands over none.
+Each view's score is then calibrated on labelled rows that trained neither (Platt scaling), and the calibrated log odds
+of both views are added, less the prior that both contain. All documents are scored in one pass over the data, without a
+shuffle.
+
+At most ``MAX_LABELLED`` labelled documents, those with the least hash of their id, are used for the fit: a bounded sample
+of the labels. The unlabelled documents are not sampled: their features are computed once and kept in the
+checkpoint folder, every round reads them all, each task finds its surest rows, and of these the surest of all are taken.
+
+Text view: hashed words and character trigrams; the share of each ASCII digit and symbol, of upper-case letters among
+letters, of the commonest word, of words that repeat the one before and that start with no letter; the mean word length,
+how fast distinct words grow, repeated lines. Metadata view: language and source by hash, and the length that the row states.
+
+Defined cases: a null text is scored as an empty one; null metadata, or a missing column of it, is a value of its own; null
+labels do not train; of several labels of one document the mean counts (a half is no label); of rows that share a labelled id
+the one whose text has the least hash trains. With labels of one class, or none, all documents are kept and the score
+is 1. Null ids are scored like others, and take part as unlabelled rows. An empty table gives no rows. Other columns of
+docs and labels are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,26 +31,49 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import ship
+from sparkseek.llm.common import durable, ship
+from sparkseek.llm.textscan import mixed, scan, slices
 
-MAX_LABELLED, MAX_POOL = 10_000, 10_000
-#: Rounds, the most that a view hands over in one, as a share of the pool, and the calibrated probability it needs.
-ROUNDS, SHARE, SURE = 5, 0.05, 0.95
+MAX_LABELLED = 10_000
+#: Rounds, how many rows a view hands over in one, and the calibrated probability that it needs.
+ROUNDS, MOST, SURE = 5, 500, 0.95
 #: Documents whose calibrated probability of being good is below this go.
 THRESHOLD = 0.5
 LANG_SLOTS, SOURCE_SLOTS = 32, 256
-RIDGE = 1.0
+#: Slots of hashed words and of hashed character trigrams.
+WORD_SLOTS, GRAM_SLOTS = 256, 128
+#: Penalties of dense and of hashed features.
+RIDGE, HASHED_RIDGE = 1.0, 10.0
 
 #: ASCII characters that are no letters; letters differ by language, not by quality.
 _SYMBOLS = [i for i in range(33, 127) if not chr(i).isalpha()]
-_TEXT = len(_SYMBOLS) + 8
+_DENSE = len(_SYMBOLS) + 8
+_HASHED = WORD_SLOTS + GRAM_SLOTS
+_TEXT = _DENSE + _HASHED
 _META = LANG_SLOTS + SOURCE_SLOTS + 3
 
 
+def hashed_features(texts: pa.Array) -> np.ndarray:
+    """For each text the square roots of the shares of its words and character trigrams by slot, as bytes (255 is all)."""
+    texts = texts.fill_null("")
+    found, n = scan(texts), len(texts)
+    words = np.bincount(np.repeat(np.arange(n), np.diff(found.first)) * WORD_SLOTS + (found.hashes() % np.uint64(WORD_SLOTS)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
+    sizes = np.asarray(pa.compute.binary_length(texts), np.int64)
+    d = found.data.astype(np.uint32)
+    code = (mixed((d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)).astype(np.uint64)) % np.uint64(GRAM_SLOTS)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(n), sizes)
+    within = np.arange(len(code)) + 2 < ends[of[: len(code)]]
+    grams = np.bincount(of[: len(code)][within] * GRAM_SLOTS + code[within], minlength=n * GRAM_SLOTS).reshape(n, GRAM_SLOTS)
+    return np.hstack([np.rint(255 * np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))).astype(np.uint8) for x in (words, grams)])
+
+
 def text_features(text: str | None) -> np.ndarray:
+    """The dense features."""
     raw = (text or "").encode()
     n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(np.float64)
     words = raw.split()
@@ -67,13 +94,10 @@ def text_features(text: str | None) -> np.ndarray:
     return np.concatenate((np.sqrt(n[_SYMBOLS] / total), more))
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(_META)
-    out[zlib.crc32(("s" + lang if lang is not None else "n").encode()) % LANG_SLOTS] = 1
-    out[LANG_SLOTS + zlib.crc32(("s" + source if source is not None else "n").encode()) % SOURCE_SLOTS] = 1
-    size = np.log1p(max(0, n_chars or 0)) / 10
-    out[-3:] = n_chars is None, size, size * size
-    return out
+def _meta_slots(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, bool, float]:
+    """The slots of language and source, whether no length is stated, and its logarithm."""
+    slots = (zlib.crc32(("s" + x if x is not None else "n").encode()) % n for x, n in ((lang, LANG_SLOTS), (source, SOURCE_SLOTS)))
+    return *slots, n_chars is None, float(np.log1p(max(0, n_chars or 0)) / 10)
 
 
 def _logit(p: np.ndarray | float):
@@ -84,17 +108,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = RIDGE, start: np.ndarray | None = None) -> np.ndarray:
     """Weights with the intercept last: Newton's method on the penalised likelihood."""
     x = np.hstack((x, np.ones((len(x), 1))))
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], 1e-3)
+    penalty[:-1] = ridge
+    w = np.zeros(x.shape[1]) if start is None or len(start) != x.shape[1] else start.copy()
     for _ in range(25):
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -107,9 +131,10 @@ class View:
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     platt: tuple[float, float] = (1.0, 0.0)
+    ridge: np.ndarray | float = RIDGE
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.weights = fit_logistic(self._standard(x), y)
+        self.weights = fit_logistic(self._standard(x), y, self.ridge, self.weights)
 
     def _standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
@@ -124,49 +149,116 @@ class View:
         return self.odds(x) * self.platt[0] + self.platt[1]
 
 
+def surest(view: View, x: np.ndarray, low: int, high: int, free: np.ndarray, tie: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """Of the free rows of x, those that the view is sure of: the ``low`` surest bad and ``high`` surest good ones, as (label, log odds, tie, row). Equal odds go by tie."""
+    odds, at, bound = view.calibrated(x), np.flatnonzero(free), _logit(SURE)
+    out = []
+    for label, n, sign in ((0, low, 1), (1, high, -1)):
+        sure = at[sign * odds[at] <= -bound]
+        out += [(label, float(odds[i]), int(tie[i]), int(i)) for i in sure[np.lexsort((tie[sure], sign * odds[sure]))[:n]]]
+    return out
+
+
+class ArrayPool:
+    """Unlabelled rows in memory: one matrix for each view."""
+
+    def __init__(self, x: list[np.ndarray], tie: np.ndarray | None = None):
+        self.x, self.free, self.tie = x, np.ones(len(x[0]), bool), np.arange(len(x[0])) if tie is None else tie
+
+    def take(self, views: list[View], low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view the rows (features of the other view, labels) that it hands over; they are free no more."""
+        out, gone = [], []
+        for v, view in enumerate(views):
+            found = surest(view, self.x[v], low, high, self.free, self.tie)
+            rows = [r[3] for r in found]
+            out.append((self.x[1 - v][rows], np.array([r[0] for r in found], np.float64)))
+            gone += rows
+        self.free[gone] = False
+        return out
+
+
+class SparkPool:
+    """All unlabelled rows of a table of features (x, label, doc_id), which lies in the checkpoint folder."""
+
+    def __init__(self, features: DataFrame):
+        self.rows = features.where("label is null").withColumn("row", F.monotonically_increasing_id()).select("x", F.xxhash64("x").alias("tie"), "row")
+        self.gone: set[int] = set()
+
+    def take(self, views: list[View], low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        gone = np.array(sorted(self.gone), np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple] = []
+            for b in batches:
+                tie, row = np.asarray(b.column(1)), np.asarray(b.column(2))
+                free = ~np.isin(row, gone)
+                for v, x in enumerate(_unpacked(b.column(0))):
+                    best += [(v, *r, int(row[i])) for *r, i in surest(views[v], x, low, high, free, tie)]
+                if len(best) > 8 * (low + high):
+                    best = _first(best, low, high)
+            columns = list(zip(*_first(best, low, high), strict=True)) or [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["view", "label", "odds", "tie", "row"])
+
+        found = durable(self.rows.mapInArrow(run, "view int, label int, odds double, tie long, row long"))
+        chosen = [r for v in (0, 1) for label, n in ((0, low), (1, high)) for r in found.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.col("odds") * (1 - 2 * label), "tie", "row").limit(n).collect()]
+        self.gone |= {r.row for r in chosen}
+        if not chosen:
+            return [(np.zeros((0, m)), np.zeros(0)) for m in (_META, _TEXT)]
+        # at most 2 * MOST rows
+        of = self.rows.sparkSession.createDataFrame([(row,) for row in sorted({r.row for r in chosen})], "row long")
+        by_row = {r.row: r.x for r in self.rows.join(F.broadcast(of), "row").collect()}
+        out = []
+        for v in (0, 1):
+            own = [r for r in chosen if r.view == v]
+            x = _unpacked(pa.array([by_row[r.row] for r in own], pa.binary()))[1 - v]
+            out.append((x, np.array([r.label for r in own], np.float64)))
+        return out
+
+
+def _first(found: list[tuple], low: int, high: int) -> list[tuple]:
+    """Of (view, label, odds, tie, row) the surest of each view and label."""
+    out = []
+    for v in (0, 1):
+        for label, n in ((0, low), (1, high)):
+            out += sorted((r for r in found if r[:2] == (v, label)), key=lambda r: (r[2] * (1 - 2 * r[1]), *r[3:]))[:n]
+    return out
+
+
 @dataclass
 class CoTrained:
     views: list[View] | None = None
     prior: float = 0.0
+    handed: list[tuple[int, int]] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-        """labelled, pool: one matrix for each of the two views. Every fifth labelled row calibrates."""
+    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, pool: ArrayPool | SparkPool, rounds: int = ROUNDS, most: int = MOST, ridges: tuple = (RIDGE, RIDGE)) -> CoTrained:
+        """labelled: one matrix for each of the two views. Every fifth labelled row calibrates. ``handed`` tells how many rows each view handed over in each round."""
         if len(set(y.tolist())) < 2:
             return cls()
         held = np.arange(len(y)) % 5 == 4
         if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
             held = np.ones(len(y), bool)  # too few labels to hold any back
         train = ~held if not held.all() else held
-        views = []
-        for x in labelled:
-            views.append(View(x[train].mean(0), x[train].std(0) + 1e-3))
+        views = [View(x[train].mean(0), x[train].std(0) + 1e-3, ridge=r) for x, r in zip(labelled, ridges, strict=True)]
         rows, labels = [x[train] for x in labelled], [y[train]] * 2
         good = y[train].mean()
-        free = np.ones(len(pool[0]), bool)
-        for _ in range(rounds):
-            for view, x, own in zip(views, rows, labels, strict=True):
-                view.fit(x, own)
-            give: list[tuple[np.ndarray, np.ndarray]] = []
+        low = max(1, round(most * (1 - good)))
+        handed = []
+        for k in range(rounds + 1):
             for v, view in enumerate(views):
-                at = np.flatnonzero(free)
-                if not len(at):
-                    break
+                view.fit(rows[v], labels[v])
                 view.calibrate(labelled[v][held], y[held])
-                p = _sigmoid(view.calibrated(pool[v][at]))
-                order = np.argsort(p, kind="stable")
-                n = max(1, int(len(pool[0]) * share))
-                low, high = order[: max(1, round(n * (1 - good)))], order[::-1][: max(1, round(n * good))]
-                low, high = at[low[p[low] <= 1 - SURE]], at[high[p[high] >= SURE]]
-                free[low] = free[high] = False
-                give.append((np.concatenate((low, high)), np.concatenate((np.zeros(len(low)), np.ones(len(high))))))
-            for v, (which, pseudo) in enumerate(give):
-                rows[1 - v] = np.vstack((rows[1 - v], pool[1 - v][which]))
+            if k == rounds:
+                break
+            give = pool.take(views, low, max(1, most - low))
+            handed.append(tuple(len(pseudo) for _, pseudo in give))
+            if not any(handed[-1]):
+                break
+            for v, (x, pseudo) in enumerate(give):
+                rows[1 - v] = np.vstack((rows[1 - v], x))
                 labels[1 - v] = np.concatenate((labels[1 - v], pseudo))
-        for view, x, own, whole in zip(views, rows, labels, labelled, strict=True):
-            view.fit(x, own)
-            view.calibrate(whole[held], y[held])
-        return cls(views, float(_logit(np.clip(y.mean(), 1e-3, 1 - 1e-3))))
+        return cls(views, float(_logit(np.clip(y.mean(), 1e-3, 1 - 1e-3))), handed)
 
     def score(self, x: list[np.ndarray]) -> list[np.ndarray]:
         """Calibrated probabilities by text, by metadata and by both."""
@@ -176,40 +268,58 @@ class CoTrained:
         return [_sigmoid(z) for z in (*odds, odds[0] + odds[1] - self.prior)]
 
 
-def _matrices(part: pa.RecordBatch) -> list[np.ndarray]:
-    """Both views of a batch whose first columns are text, lang, source and n_chars."""
+def _packed(part: pa.RecordBatch) -> list[bytes]:
+    """Features of a batch whose first columns are text, lang, source and n_chars: dense ones as 32-bit floats, then bytes, then the metadata's."""
+    hashed = hashed_features(part.column(0))
     text, *meta = (part.column(i).to_pylist() for i in range(4))
-    return [np.array([text_features(t) for t in text]).reshape(-1, _TEXT), np.array([meta_features(*m) for m in zip(*meta, strict=True)]).reshape(-1, _META)]
+    out = []
+    for t, h, *m in zip(text, hashed, *meta, strict=True):
+        out.append(text_features(t).astype("<f4").tobytes() + h.tobytes() + np.array(_meta_slots(*m), "<f4").tobytes())
+    return out
+
+
+def _unpacked(rows: pa.Array) -> list[np.ndarray]:
+    """Both views' matrices of packed features."""
+    raw = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(len(rows), 4 * _DENSE + _HASHED + 16)
+    dense = raw[:, : 4 * _DENSE].copy().view("<f4").astype(np.float64)
+    meta = raw[:, 4 * _DENSE + _HASHED :].copy().view("<f4").astype(np.float64)
+    wide = np.zeros((len(rows), _META))
+    at = np.arange(len(rows))
+    wide[at, meta[:, 0].astype(np.int64)] = 1
+    wide[at, LANG_SLOTS + meta[:, 1].astype(np.int64)] = 1
+    wide[:, -3], wide[:, -2], wide[:, -1] = meta[:, 2], meta[:, 3], meta[:, 3] ** 2
+    return [np.hstack((dense, raw[:, 4 * _DENSE : 4 * _DENSE + _HASHED] / 255)), wide]
 
 
 def _inputs(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), *more)
+    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()), *more)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, most: int = MOST) -> CoTrained:
     ship(docs.sparkSession)
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("_label")).where("_label <> 0.5")
-    some = known.orderBy(*order).limit(max_labelled).select("doc_id", (F.col("_label") > 0.5).cast("double").alias("_label"))
-    pool = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*order).limit(max_pool)
-    chosen = some.unionByName(pool.select("doc_id", F.lit(None).cast("double").alias("_label")))
+    label = F.avg(F.col(label_col).cast("double"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(label.alias("label")).where("label <> 0.5")
+    known = known.select("id", (F.col("label") > 0.5).cast("double").alias("label"))
+    own = _inputs(docs, F.col("doc_id").cast("long").alias("id"))
+    present = known.join(own.select("id").distinct(), "id", "left_semi")
+    some = present.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # a bounded table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                a, m = _matrices(part)
-                rows = [x.astype("<f4").tobytes() for x in np.hstack((a, m))]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column(4), part.column(5)], names=["x", "label", "doc_id"])
-
-    # chosen has max_labelled + max_pool rows at most
-    picked = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = _inputs(picked, F.col("_label").alias("label"), F.col("doc_id")).mapInArrow(run, "x binary, label double, doc_id long").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], np.float64).reshape(-1, _TEXT + _META)
-    y = np.array([np.nan if r.label is None else r.label for r in rows])
-    has = ~np.isnan(y)
-    return CoTrained.fit([x[has, :_TEXT], x[has, _TEXT:]], y[has], [x[~has, :_TEXT], x[~has, _TEXT:]])
+            for part in slices(b, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(part), pa.binary()), part.column(4), part.column(5)], names=["x", "id", "text_key"])
+
+    rows = _inputs(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).mapInArrow(run, "x binary, id long, text_key long")
+    features = durable(rows)
+    trains = durable(features.join(F.broadcast(some), "id").groupBy("id").agg(F.min_by(F.struct("x", "label"), F.struct("text_key", "x")).alias("row")).select("id", "row.*")).orderBy("id").collect()
+    if not trains:
+        return CoTrained()
+    unlabelled = features.join(known.withColumnRenamed("label", "_known"), "id", "left").select("x", F.col("_known").alias("label"))
+    x = _unpacked(pa.array([r.x for r in trains], pa.binary()))
+    y = np.array([r.label for r in trains])
+    ridges = np.concatenate((np.full(_DENSE, RIDGE), np.full(_HASHED, HASHED_RIDGE))), RIDGE
+    return CoTrained.fit(x, y, SparkPool(durable(unlabelled)), most=most, ridges=ridges)
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,9 +328,8 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                found = model.score(_matrices(part))
+            for part in slices(b, 0):
+                found = model.score(_unpacked(pa.array(_packed(part), pa.binary())))
                 yield pa.RecordBatch.from_arrays([part.column(4), *map(pa.array, found), pa.array(found[2] >= threshold)], names=["doc", "text_score", "metadata_score", "quality_score", "kept"])
 
     whole = _inputs(docs, F.struct(*(F.col(c) for c in docs.columns)).alias("doc"))

@@ -340,8 +340,74 @@ def test_quality(spark):
 
 
 def test_many_sources_keep_features_of_their_own():
-    seen = {quality.meta_features("en", f"source-{i}", 10).tobytes() for i in range(200)}
-    assert len(seen) > 100
+    assert len({quality._meta_slots("en", f"source-{i}", 10) for i in range(200)}) > 100
+
+
+def test_text_features_are_those_of_words_and_trigrams():
+    """Hashed features against a count by hand; equal texts have equal features wherever they stand."""
+    import pyarrow as pa
+
+    texts = ["the cat and the dog", "", None, "a\tb  a", "é", "the cat and the dog"]
+    got = quality.hashed_features(pa.array(texts))
+    assert (got[0] == got[5]).all() and not got[1].any() and not got[2].any()
+    assert sorted(x for x in got[0][: quality.WORD_SLOTS] if x) == sorted(round(255 * math.sqrt(n / 5)) for n in (2, 1, 1, 1))
+    assert sorted(x for x in got[3][: quality.WORD_SLOTS] if x) == sorted(round(255 * math.sqrt(n / 3)) for n in (2, 1))
+    raw = texts[0].encode()
+    grams = Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+    slot = {g: int(quality.mixed(np.array([g[0] | g[1] << 8 | g[2] << 16], np.uint64))[0] % np.uint64(quality.GRAM_SLOTS)) for g in grams}
+    total = np.zeros(quality.GRAM_SLOTS)
+    for g, n in grams.items():
+        total[slot[g]] += n
+    assert (got[0][quality.WORD_SLOTS :] == np.rint(255 * np.sqrt(total / sum(grams.values())))).all()
+    row = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en", None] * 3), pa.array(["s"] * 6), pa.array([1, None, 3, 4, 5, 1], pa.int64())], names=list("abcd"))
+    text, meta = quality._unpacked(pa.array(quality._packed(row), pa.binary()))
+    assert text.shape == (6, quality._TEXT) and meta.shape == (6, quality._META) and np.allclose(text[3, : quality._DENSE], quality.text_features(texts[3]), atol=1e-6)
+    assert meta[1, -3] == 1 and meta[0, -3] == 0 and (meta[:, : quality.LANG_SLOTS].sum(1) == 1).all()
+
+
+def test_quality_exchanges_over_all_unlabelled_documents(spark):
+    """One round over 12,000 unlabelled rows hands over what sorting them all does."""
+    r = np.random.default_rng(3)
+    n = 12_000
+    raw = np.zeros((n, 4 * quality._DENSE + quality._HASHED + 16), np.uint8)
+    raw[:, : 4 * quality._DENSE] = r.normal(size=(n, quality._DENSE)).astype("<f4").view(np.uint8).reshape(n, -1)
+    raw[:, 4 * quality._DENSE : -16] = r.integers(0, 256, (n, quality._HASHED))
+    meta = np.c_[r.integers(0, 32, n), r.integers(0, 256, n), np.zeros(n), r.random(n)].astype("<f4")
+    raw[:, -16:] = meta.view(np.uint8).reshape(n, 16)
+    rows = [(raw[i].tobytes(), None if i % 50 else 1.0) for i in range(n)]
+    table = quality.durable(spark.createDataFrame(rows, "x binary, label double").repartition(7))
+    pool = quality.SparkPool(table)
+    import pyarrow as pa
+
+    own = pool.rows.orderBy("row").collect()
+    arrays = quality.ArrayPool(quality._unpacked(pa.array([x.x for x in own], pa.binary())), np.array([x.tie for x in own]))
+    views = [quality.View(np.zeros(m), np.ones(m), r.normal(size=m + 1) * k) for m, k in ((quality._TEXT, 1.0), (quality._META, 5.0))]
+    for _ in range(2):
+        got, expected = pool.take(views, 30, 70), arrays.take(views, 30, 70)
+        assert len(own) > 10_000 and all(len(y) for _, y in got)
+        for (x, y), (x_, y_) in zip(got, expected, strict=True):
+            assert sorted(map(tuple, np.c_[x, y].tolist())) == sorted(map(tuple, np.c_[x_, y_].tolist()))
+    everything = quality.surest(views[0], arrays.x[0], 30, 70, np.ones(len(own), bool), arrays.tie)
+    odds = views[0].calibrated(arrays.x[0])
+    assert [r[3] for r in everything if r[0]] == sorted(np.flatnonzero(odds >= math.log(0.95 / 0.05)), key=lambda i: -odds[i])[:70]
+
+
+def test_quality_bears_clashing_and_missing_columns(spark):
+    r = random.Random(5)
+    rows = [(i, junk(r, i)[0], "en", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0 and i % 8 != 1)) for i in range(0, 200, 2)], "doc_id long, quality int").withColumn("label", F.lit(1)).withColumn("id", F.lit("x"))
+    table = docs(spark, rows)
+    for c in ("_label", "label", "x", "doc", "text_key", "row", "_known", "view", "odds", "text_score"):
+        table = table.withColumn(c, F.lit(3))
+    twice = table.unionByName(table.limit(20).withColumn("text", F.lit("other words ###")))  # an id with two texts
+    for t in (table, twice, table.drop("lang", "source", "n_chars"), table.withColumn("text", F.concat(F.col("text"), F.repeat(F.lit(" word"), F.when(F.col("doc_id") == 7, 600_000).otherwise(0))))):
+        out = quality.score(t, quality.fit(t, labels))
+        assert out.select("doc.*").columns == t.columns and out.count() == t.count()
+        again = quality.score(t.repartition(3), quality.fit(t.repartition(5), labels))
+        key = lambda df: sorted((x.doc_id, x.text, x.kept) for x in df.select("doc.doc_id", "doc.text", "kept").collect())
+        assert key(out) == key(again)
+    assert quality.score(table, quality.fit(table, labels.limit(0))).where("kept").count() == 200
+    assert quality.score(table.limit(0), quality.fit(table.limit(0), labels)).count() == 0
 
 
 def test_views_teach_each_other():
@@ -349,7 +415,8 @@ def test_views_teach_each_other():
     r = np.random.default_rng(1)
     y = (np.arange(2000) % 2).astype(float)
     views = [np.c_[y + 0.1 * r.normal(size=2000), r.normal(size=2000)], np.c_[r.normal(size=2000), 2 * y + r.normal(size=2000)]]
-    model = quality.CoTrained.fit([v[:40] for v in views], y[:40], [v[40:] for v in views])
+    model = quality.CoTrained.fit([v[:40] for v in views], y[:40], quality.ArrayPool([v[40:] for v in views]), most=100)
+    assert sum(a for a, _ in model.handed) > 100
     scores = model.score(views)
     assert ((scores[2] > 0.5) == y).mean() > 0.9
 
