@@ -110,13 +110,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = RIDGE, start: np.ndarray | None = None) -> np.ndarray:
     """Weights with the intercept last: Newton's method on the penalised likelihood."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    penalty = np.full(x.shape[1], 1e-3)
+    width = x.shape[1] + 1
+    penalty = np.full(width, 1e-3)
     penalty[:-1] = ridge
-    w = np.zeros(x.shape[1]) if start is None or len(start) != x.shape[1] else start.copy()
+    w = np.zeros(width) if start is None or len(start) != width else start.copy()
     for _ in range(25):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        curve, slope = np.diag(penalty), penalty * w
+        for k in range(0, len(x), 1000):  # bounds the copies in memory
+            some = np.hstack((x[k : k + 1000], np.ones((len(x[k : k + 1000]), 1))))
+            p = _sigmoid(some @ w)
+            curve += (some.T * (p * (1 - p))) @ some
+            slope += some.T @ (p - y[k : k + 1000])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
             break

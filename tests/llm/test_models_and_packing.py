@@ -472,6 +472,32 @@ def test_audio_alignment(spark):
     assert chroma.shared_audio(table.limit(0)).count() == 0
 
 
+def test_audio_recall_with_the_settings_of_the_query(spark):
+    """Links of the query against all pairs at all offsets."""
+    from sparkseek.llm.queries import op1_chroma
+
+    found = total = 0
+    for sf in ("sf0.001", "sf0.01"):
+        folder = f"/root/testdata/{sf}"
+        out = {x.doc_id: x for x in op1_chroma(spark, folder).collect()}
+        texts = {x.doc_id: x.text for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        prints = {i: chroma.fingerprint(chroma.chroma(chroma.samples_of_bytes(t.encode()))) for i, t in texts.items() if t and out[i].class_id == i and out[i].n_frames >= chroma.MIN_FRAMES}
+        ids, links = sorted(prints), 0
+        for k, b in enumerate(ids):
+            for a in ids[:k]:
+                errors = np.bitwise_count(prints[a][:, None] ^ prints[b][None, :])
+                n, m = errors.shape
+                sums = np.zeros((n + 1, m + 1), np.int32)
+                for i in range(n):
+                    sums[i + 1, 1:] = sums[i, :-1] + errors[i]
+                w = chroma.MIN_FRAMES
+                links += (sums[w:, w:] - sums[:-w, :-w]).min() <= chroma.MAX_BIT_ERROR * 32 * w
+        own = sum(x.n_links for i, x in out.items() if x.class_id == i)
+        assert own <= links
+        found, total = found + own, total + links
+    assert total >= 4 and found / total >= 0.9
+
+
 def test_audio_shared_past_an_earlier_holder(spark):
     """Two recordings share audio whose numbers an earlier one holds too, at other offsets."""
     r = random.Random(2)
