@@ -35,6 +35,17 @@ class KeywordIndex:
         terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
         return cls(postings, scopes, terms, k1, b)
 
+    def keep(self) -> KeywordIndex:
+        """The same index, held by the session in memory or on local disks: computed by the first query, read by all later ones."""
+        postings = self.postings.persist()
+        terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        return KeywordIndex(postings, self.scopes.persist(), terms.persist(), self.k1, self.b)
+
+    def drop(self) -> None:
+        """Let go of what keep() holds."""
+        for t in (self.postings, self.scopes, self.terms):
+            t.unpersist()
+
     def write(self, folder: str) -> None:
         """Postings sorted by term within files, so that a query's terms prune row groups."""
         self.postings.repartitionByRange("term", "doc_key").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,8 +67,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(e.select(F.col("event_id").cast("string").alias("doc_key"), millis("ts").alias("observed_at"), text.alias("text"), number.alias("number")))
 
 
+#: Indexes that the session holds, by application, files and scope; the least recently used go first.
+_KEPT: OrderedDict[tuple, KeywordIndex] = OrderedDict()
+KEPT_INDEXES = 4
+
+
 def index(spark: SparkSession, sf_dir: str, scope=None) -> KeywordIndex:
-    return KeywordIndex.build(read(spark, sf_dir, "documents"), "doc_id", F.col("text"), scope)
+    """The index of the documents, built once for all queries of a session; other files in the folder make another index."""
+    docs = read(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles())), str(scope))
+    if key not in _KEPT:
+        _KEPT[key] = KeywordIndex.build(docs, "doc_id", F.col("text"), scope).keep()
+        while len(_KEPT) > KEPT_INDEXES:
+            old, gone = _KEPT.popitem(last=False)
+            if old[0] == key[0]:
+                gone.drop()
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
 
 
 # keyword search

@@ -173,3 +173,19 @@ def test_fusion_is_no_worse_than_either_ranking(spark):
     ranked = spark.createDataFrame([(0, "b", 1), (0, "a", 2)], "query_id long, doc string, rank int")
     relevance = spark.createDataFrame([(0, "a", 1.0)], "query_id long, doc string, relevance double")
     assert ndcg_table(ranked, relevance).first().ndcg == pytest.approx(1 / math.log2(3), abs=1e-6)
+
+
+def test_one_index_for_all_queries_of_a_session(spark, tmp_path):
+    from sparkseek import queries as core
+
+    rows = [(1, "alpha beta"), (2, "beta"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first, again = core.index(spark, str(tmp_path)), core.index(spark, str(tmp_path))
+    assert first is again and first is not core.index(spark, str(tmp_path), F.col("doc_id") % 2)
+    assert [r.doc_key for r in first.search("beta").collect()] == [2, 1]
+    assert "InMemoryTableScan" in first.search("beta")._jdf.queryExecution().toString()
+    spark.createDataFrame([(4, "beta beta")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_key for r in core.index(spark, str(tmp_path)).search("beta").collect()} == {1, 2, 4}
+    for k in range(2, 8):
+        core.index(spark, str(tmp_path), F.col("doc_id") % k)
+    assert len(core._KEPT) == core.KEPT_INDEXES
