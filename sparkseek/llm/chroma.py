@@ -7,7 +7,7 @@
    other that has the same number: an offset histogram. Every holder and every place of a number counts. Recordings are
    dealt into blocks, and every two blocks meet in one task, which holds their numbers sorted: no votes are shuffled, and
    a common number is met in as many tasks as there are pairs of blocks.
-3. Alignment. At every offset with ``MIN_VOTES`` votes, and its neighbours, the two are compared bit by bit; they are
+3. Alignment. At every offset with ``MIN_VOTES`` votes, and at the neighbours of those that come close, the two are compared bit by bit; they are
    linked if some stretch of at least ``MIN_FRAMES`` frames has a bit error of ``MAX_BIT_ERROR`` at most. Links make
    components. A task hands on each recording's number of links, its best one, and a spanning forest, not all links.
 
@@ -41,6 +41,8 @@ RATE, FRAME, HOP = 4000, 512, 64
 LOWEST, HIGHEST = 65.0, 1800.0
 CLASSES = 12
 MIN_VOTES, MIN_FRAMES, MAX_BIT_ERROR = 1, 48, 0.15
+#: An offset's neighbours are compared too if its own bit error is at most so many times MAX_BIT_ERROR: frames overlap, so a neighbour's is not far off.
+NEIGHBOUR = 2
 #: Frames whose spectra are in memory at once.
 BLOCK = 2048
 #: Frames of a block of recordings, about; the least number of blocks; votes, or compared frames, in memory at once.
@@ -269,10 +271,14 @@ def _links(a: _Block, b: _Block, same: bool, min_votes: int, min_frames: int, ma
         x, y, offset, votes = x[keep], y[keep], offset[keep], votes[keep]
         if not len(x):
             continue
-        # a neighbouring offset may fit better where copies do not start on a frame's edge; of equal errors that with more votes counts
-        x, y, votes = np.tile(x, 3), np.tile(y, 3), np.concatenate((votes, np.zeros(2 * len(votes), np.int64)))
-        offset = np.concatenate((offset, offset - 1, offset + 1))
         error = _least_errors(a, b, x, y, offset, min_frames)
+        # a neighbouring offset may fit better where copies do not start on a frame's edge; of equal errors that with more votes counts
+        close = np.flatnonzero(error <= NEIGHBOUR * max_error)
+        own = x[close], y[close]
+        x, y, votes = np.concatenate((x, *[own[0]] * 2)), np.concatenate((y, *[own[1]] * 2)), np.concatenate((votes, np.zeros(2 * len(close), np.int64)))
+        beside = np.concatenate((offset[close] - 1, offset[close] + 1))
+        error = np.concatenate((error, _least_errors(a, b, x[len(error) :], y[len(error) :], beside, min_frames)))
+        offset = np.concatenate((offset, beside))
         good = np.flatnonzero(error <= max_error)
         later = a.ids[x[good]] > b.ids[y[good]]
         offset = np.where(later, -offset[good], offset[good])
