@@ -1,8 +1,8 @@
 """Quality by co-training: a classifier of text content and one of page metadata teach each other.
 
 Blum and Mitchell, "Combining labeled and unlabeled data with co-training" (1998). Each view starts from the
-labelled documents. In every round each view scores all unlabelled documents and hands the ``MOST`` of which it is
-surest, in the ratio of the labels, to the other view as training rows; a view that is sure of none hands over none.
+labelled documents. In every round each view scores all unlabelled documents and hands those of which it is
+surest, a twentieth (``SHARE``) as many as there are labels and in their ratio, to the other view as training rows; a view that is sure of none hands over none.
 Each view's score is then calibrated on labelled rows that trained neither (Platt scaling), and the calibrated log odds
 of both views are added, less the prior that both contain. All documents are scored in one pass over the data, without a
 shuffle.
@@ -39,8 +39,8 @@ from sparkseek.llm.common import durable, ship
 from sparkseek.llm.textscan import mixed, scan, slices
 
 MAX_LABELLED = 10_000
-#: Rounds, how many rows a view hands over in one, and the calibrated probability that it needs.
-ROUNDS, MOST, SURE = 5, 500, 0.95
+#: Rounds, how many rows a view hands over in one, as a share of the labelled rows, and the calibrated probability that it needs.
+ROUNDS, SHARE, SURE = 5, 0.05, 0.95
 #: Documents whose calibrated probability of being good is below this go.
 THRESHOLD = 0.5
 LANG_SLOTS, SOURCE_SLOTS = 32, 256
@@ -210,7 +210,7 @@ class SparkPool:
         self.gone |= {r.row for r in chosen}
         if not chosen:
             return [(np.zeros((0, m)), np.zeros(0)) for m in (_META, _TEXT)]
-        # at most 2 * MOST rows
+        # twice SHARE * MAX_LABELLED rows at most
         of = self.rows.sparkSession.createDataFrame([(row,) for row in sorted({r.row for r in chosen})], "row long")
         by_row = {r.row: r.x for r in self.rows.join(F.broadcast(of), "row").collect()}
         out = []
@@ -237,7 +237,7 @@ class CoTrained:
     handed: list[tuple[int, int]] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, pool: ArrayPool | SparkPool, rounds: int = ROUNDS, most: int = MOST, ridges: tuple = (RIDGE, RIDGE)) -> CoTrained:
+    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, pool: ArrayPool | SparkPool, rounds: int = ROUNDS, share: float = SHARE, ridges: tuple = (RIDGE, RIDGE)) -> CoTrained:
         """labelled: one matrix for each of the two views. Every fifth labelled row calibrates. ``handed`` tells how many rows each view handed over in each round."""
         if len(set(y.tolist())) < 2:
             return cls()
@@ -248,6 +248,7 @@ class CoTrained:
         views = [View(x[train].mean(0), x[train].std(0) + 1e-3, ridge=r) for x, r in zip(labelled, ridges, strict=True)]
         rows, labels = [x[train] for x in labelled], [y[train]] * 2
         good = y[train].mean()
+        most = max(2, round(share * len(y)))
         low = max(1, round(most * (1 - good)))
         handed = []
         for k in range(rounds + 1):
@@ -301,7 +302,7 @@ def _inputs(docs: DataFrame, *more) -> DataFrame:
     return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()), *more)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, most: int = MOST) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, share: float = SHARE) -> CoTrained:
     ship(docs.sparkSession)
     label = F.avg(F.col(label_col).cast("double"))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(label.alias("label")).where("label <> 0.5")
@@ -324,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     x = _unpacked(pa.array([r.x for r in trains], pa.binary()))
     y = np.array([r.label for r in trains])
     ridges = np.concatenate((np.full(_DENSE, RIDGE), np.full(_HASHED, HASHED_RIDGE))), RIDGE
-    return CoTrained.fit(x, y, SparkPool(durable(unlabelled)), most=most, ridges=ridges)
+    return CoTrained.fit(x, y, SparkPool(durable(unlabelled)), share=share, ridges=ridges)
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:

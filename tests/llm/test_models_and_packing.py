@@ -415,7 +415,7 @@ def test_views_teach_each_other():
     r = np.random.default_rng(1)
     y = (np.arange(2000) % 2).astype(float)
     views = [np.c_[y + 0.1 * r.normal(size=2000), r.normal(size=2000)], np.c_[r.normal(size=2000), 2 * y + r.normal(size=2000)]]
-    model = quality.CoTrained.fit([v[:40] for v in views], y[:40], quality.ArrayPool([v[40:] for v in views]), most=100)
+    model = quality.CoTrained.fit([v[:40] for v in views], y[:40], quality.ArrayPool([v[40:] for v in views]), share=2.5)
     assert sum(a for a, _ in model.handed) > 100
     scores = model.score(views)
     assert ((scores[2] > 0.5) == y).mean() > 0.9
