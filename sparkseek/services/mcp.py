@@ -10,26 +10,38 @@ from sparkseek.services.tools import ToolError, Tools, definitions
 PROTOCOL = "2024-11-05"
 
 
+#: The protocol's code for an unknown method, and what this server says of itself.
+UNKNOWN_METHOD = -32601
+SERVER = {"name": "sparkseek", "version": "0.1"}
+
+
+def _call(tools: Tools, params: dict) -> dict:
+    """A tool's text. What a tool refuses is told to the agent as text too, marked as an error."""
+    try:
+        said, refused = tools.call(params.get("name", ""), params.get("arguments")), False
+    except ToolError as e:
+        said, refused = str(e), True
+    return {"content": [{"type": "text", "text": said}], "isError": refused}
+
+
+METHODS = {
+    "tools/list": lambda tools, params: {"tools": definitions()},
+    "tools/call": _call,
+    "initialize": lambda tools, params: {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": SERVER},
+    "ping": lambda tools, params: {},
+}
+
+
 def handle(tools: Tools, message: dict) -> dict | None:
-    """The response, or None for a notification. A tool that fails is a result with isError, not an error of the protocol."""
+    """The response, or None where none is due: a message without an id or a method."""
     method = message.get("method")
-    if not isinstance(method, str) or "id" not in message:
+    if "id" not in message or not isinstance(method, str):
         return None
-    params = message.get("params") or {}
-    head = {"jsonrpc": "2.0", "id": message["id"]}
-    if method == "initialize":
-        return head | {"result": {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": {"name": "sparkseek", "version": "0.1"}}}
-    if method == "ping":
-        return head | {"result": {}}
-    if method == "tools/list":
-        return head | {"result": {"tools": definitions()}}
-    if method == "tools/call":
-        try:
-            text, failed = tools.call(params.get("name", ""), params.get("arguments")), False
-        except ToolError as e:
-            text, failed = str(e), True
-        return head | {"result": {"content": [{"type": "text", "text": text}], "isError": failed}}
-    return head | {"error": {"code": -32601, "message": f"method not found: {method}"}}
+    if run := METHODS.get(method):
+        outcome = {"result": run(tools, message.get("params") or {})}
+    else:
+        outcome = {"error": {"code": UNKNOWN_METHOD, "message": f"this server has no method {method}"}}
+    return {"jsonrpc": "2.0", "id": message["id"], **outcome}
 
 
 def serve(tools: Tools, lines: TextIO, out: TextIO) -> None:

@@ -9,7 +9,12 @@ from sparkseek.operators.aggregate import KINDS
 from sparkseek.plans.filters import parse_json
 from sparkseek.services.engine import Aggregate, Engine, Result
 
+#: Bounds on results, the tools' names, and the lines of their output.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_BUCKETS = 5, 50, 25
+SEARCH, SEMANTIC, HYBRID, STATE, AGGREGATE = "search_flights", "semantic_search_flights", "hybrid_search_flights", "cluster_state", "aggregate_flights"
+MATCHED_LINE = "{} matched across {}/{} shards"
+HIT_LINE = "- {} {} ({} -> {}) {} score={:.3f} [via {}{}]"
+PROVENANCE_LINE = "\n\nprovenance: {}\n"
 
 
 class ToolError(Exception):
@@ -35,22 +40,23 @@ def definitions() -> list[dict]:
         "filters": filters,
     }
     return [
-        _tool("search_flights", "Finds single records by keywords. For counts and breakdowns use aggregate_flights.", search, ("query",)),
-        _tool("semantic_search_flights", "Finds records by the meaning of a text.", search, ("query",)),
-        _tool("hybrid_search_flights", "Finds records by keywords and by meaning, and fuses both rankings.", search, ("query",)),
-        _tool("cluster_state", "Shards and placement, as the engine sees them.", {}),
-        _tool("aggregate_flights", "Counts, breakdowns, histograms and percentiles over all matching records.", summary, ("kind",)),
+        _tool(SEARCH, "Finds single records by keywords. For counts and breakdowns use aggregate_flights.", search, ("query",)),
+        _tool(SEMANTIC, "Finds records by the meaning of a text.", search, ("query",)),
+        _tool(HYBRID, "Finds records by keywords and by meaning, and fuses both rankings.", search, ("query",)),
+        _tool(STATE, "Shards and placement, as the engine sees them.", {}),
+        _tool(AGGREGATE, "Counts, breakdowns, histograms and percentiles over all matching records.", summary, ("kind",)),
     ]
 
 
 def format_hits(result: Result) -> str:
     m = result.manifest
-    lines = [f"{result.total_matched} matched across {m.slices_answered}/{m.slices_queried} shards"]
+    lines = [MATCHED_LINE.format(result.total_matched, m.slices_answered, m.slices_queried)]
     for h in result.hits:
         d = h.doc
         how = f" {h.index}" if h.index in ("keyword", "vector") else ""
-        lines.append(f"- {h.key} {d.get('callsign', '')} ({d.get('origin', '')} -> {d.get('destination', '')}) {d.get('aircraft_type', '')} score={h.score:.3f} [via {h.source_group}{how}]")
-    return "\n".join(lines) + f"\n\nprovenance: {m.summary()}\n"
+        place = (d.get(f, "") for f in ("callsign", "origin", "destination", "aircraft_type"))
+        lines.append(HIT_LINE.format(h.key, *place, h.score, h.source_group, how))
+    return "\n".join(lines) + PROVENANCE_LINE.format(m.summary())
 
 
 def label(key) -> str:
@@ -70,7 +76,7 @@ def format_aggregate(a: Aggregate) -> str:
     else:
         named = sorted(((label(k), v) for k, v in a.buckets.items()), key=lambda x: (-x[1], x[0]))
         lines = [f"{k}: {v}" for k, v in named[:MAX_BUCKETS]] + [f"({a.count} matched)"]
-    return "\n".join(lines) + f"\n\nprovenance: {a.manifest.summary()}\n"
+    return "\n".join(lines) + PROVENANCE_LINE.format(a.manifest.summary())
 
 
 def format_state(state: dict) -> str:
@@ -95,28 +101,29 @@ class Tools:
             raise ToolError(str(e)) from e
 
     def _call(self, name: str, args: dict) -> str:
-        limit = args.get("limit")
+        run = {SEARCH: self._search, SEMANTIC: self._search, HYBRID: self._search, AGGREGATE: self._aggregate, STATE: self._state}.get(name)
+        if run is None:
+            raise ToolError(f"there is no tool named {name}")
+        return run(name, args)
+
+    def _search(self, name: str, args: dict) -> str:
+        query, limit = args.get("query"), args.get("limit")
+        if not isinstance(query, str):
+            raise ToolError(f"{name} needs the argument query, a text")
         limit = min(MAX_LIMIT, max(1, limit)) if isinstance(limit, int) and not isinstance(limit, bool) else DEFAULT_LIMIT
-        if name in ("search_flights", "semantic_search_flights", "hybrid_search_flights"):
-            query = args.get("query")
-            if not isinstance(query, str):
-                raise ToolError("missing required argument: query")
-            conditions = parse_json(args.get("filters"))
-            if name == "search_flights":
-                return format_hits(self.engine.search(query, limit, conditions, token=self.token))
-            if name == "semantic_search_flights":
-                return format_hits(self.engine.vector_search(self.engine.embed(query), limit, conditions, token=self.token))
-            return format_hits(self.engine.hybrid_search(query, limit, conditions, token=self.token))
-        if name == "cluster_state":
-            return format_state(self.engine.cluster_state(self.token))
-        if name == "aggregate_flights":
-            kind = args.get("kind", "count")
-            if kind not in KINDS:
-                raise ToolError(f"unknown aggregation kind: {kind}")
-            numbers = [float(p) for p in args.get("percentiles") or () if isinstance(p, int | float)]
-            found = self.engine.aggregate(kind, args.get("field", ""), args.get("interval"), numbers, args.get("query", ""), parse_json(args.get("filters")), token=self.token)
-            return format_aggregate(found)
-        raise ToolError(f"unknown tool: {name}")
+        of = {SEARCH: self.engine.search, SEMANTIC: lambda q, *more, **by: self.engine.vector_search(self.engine.embed(q), *more, **by), HYBRID: self.engine.hybrid_search}
+        return format_hits(of[name](query, limit, parse_json(args.get("filters")), token=self.token))
+
+    def _aggregate(self, name: str, args: dict) -> str:
+        kind = args.get("kind", "count")
+        if kind not in KINDS:
+            raise ToolError(f"{name} has no kind {kind}; it has {', '.join(KINDS)}")
+        numbers = [float(p) for p in args.get("percentiles") or () if isinstance(p, int | float)]
+        found = self.engine.aggregate(kind, args.get("field", ""), args.get("interval"), numbers, args.get("query", ""), parse_json(args.get("filters")), token=self.token)
+        return format_aggregate(found)
+
+    def _state(self, name: str, args: dict) -> str:
+        return format_state(self.engine.cluster_state(self.token))
 
     def definitions_json(self) -> str:
         return json.dumps(definitions())
