@@ -46,7 +46,10 @@ def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = durable(spread.where(F.col("sites") >= min_sites * (1 - BAND)))
     sure = F.col("sites") > min_sites * (1 + BAND)
     near = spread.where(~sure).select("key", F.col("n").alias("near_n"))
-    sites = lines.groupBy("key", "site").agg(F.lit(1).alias("one")).join(near, "key").groupBy("key", "near_n").agg(F.count("*").alias("exact"))
+    # only lines near the threshold are counted exactly: they are joined first
+    salt = F.encode(F.rpad(F.col("site"), 40, "."), "UTF-8")  # longer than any digest
+    total = near.agg(F.sum("near_n")).first()[0] or 0
+    sites = join_hot(lines.select("key", "site"), near, "key", F.col("near_n"), total, salt).distinct().groupBy("key", "near_n").agg(F.count("*").alias("exact"))
     counted = sites.where(F.col("exact") >= min_sites).select("key", F.col("near_n").alias("n"))
     return spread.where(sure).select("key", "n").unionByName(counted)
 
