@@ -14,7 +14,7 @@ from sparkseek.functions.hashing import fnv1a_limbs, shard_of
 from sparkseek.functions.text import tokens
 from sparkseek.functions.vectors import DIMENSIONS, dot, hash_embed, hash_embed_array
 from sparkseek.operators import aggregate as agg
-from sparkseek.operators import hybrid, merge, store, tdigest, vector
+from sparkseek.operators import hybrid, ivf, merge, store, tdigest, vector
 from sparkseek.operators.keyword import KeywordIndex, top
 from sparkseek.operators.placement import Placement
 from sparkseek.plans.filters import Equals, Is, Range, to_column
@@ -404,6 +404,18 @@ def quant_recall(spark, sf_dir):
     return exact.join(quick.select("vec_id", F.lit(1).alias("hit")), "vec_id", "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+@query()
+def knn_ivf_recall(spark, sf_dir):
+    """Of the ten nearest to every vector whose id is divisible by 50, the share that the inverted file finds, and the share of lists that it reads."""
+    e = read(spark, sf_dir, "embeddings")
+    index = ivf.IvfIndex.build(e, f"{_shared(spark)}/ivf", "vec_id", "embedding")
+    asked = e.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").cast("array<double>").alias("q"))
+    true = vector.knn_many(e, asked, 10, "vec_id", "embedding").select("query_id", "vec_id")
+    probed = index.probed(asked).withColumn("hit", F.lit(1))
+    held = true.join(index.rows.select("vec_id", "list"), "vec_id").join(probed, ["query_id", "list"], "left")
+    return held.agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall")).withColumn("lists_read", F.lit(index.probes / len(index.centres)))
+
+
 @query(rf"""WITH t AS (SELECT DISTINCT unnest({_TOKENS}) AS term FROM documents), h AS (SELECT {_fnv_sql('hex(term)')} AS h FROM t)
 SELECT (h % 128)::BIGINT AS place, (h // 9223372036854775808)::BIGINT AS sign, count(*) AS terms FROM h GROUP BY 1, 2""")
 def hash_embed_bucket(spark, sf_dir):
