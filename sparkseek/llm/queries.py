@@ -69,11 +69,15 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """The tables hold no labels of URLs: a host with a listed term is labelled as spam, the others as clean."""
+    host, _ = url_filter.host_and_path(F.col("url"))
+    return pages.where(F.col("url").isNotNull()).select("url", host.rlike(SPAM_TERMS).cast("int").alias("label"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    host, _ = url_filter.host_and_path(F.col("url"))
-    labelled = pages.where(F.col("url").isNotNull()).select("url", host.rlike(SPAM_TERMS).cast("int").alias("label"))
-    return url_filter.filter_urls(pages, URL_RULES, url_filter.UrlModel().fit(labelled))
+    return url_filter.filter_urls(pages, URL_RULES, url_filter.UrlModel().fit(labelled_urls(pages)))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

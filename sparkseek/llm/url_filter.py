@@ -6,9 +6,11 @@ counts of parameters, labels and hyphens, and the block rate and frequency of th
 compresses the labelled URLs to their distinct binned rows; each level of a tree is one aggregation to sums by
 node, feature and bin, of which only the (bounded) sums reach the driver. Trees become column expressions.
 
+Suffixes that are rare among the labelled URLs count as unseen: they have the rate of all labelled URLs, and frequency 0.
+
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is judged on the features of
 an empty string. Labels that are null are left out of training; with labels of one class or none, every
-URL gets that class's (or the allow) verdict. An empty table gives no rows. Repeated rows are judged alike.
+URL gets that class's (or the allow) verdict. An empty table gives no rows. Repeated rows are judged alike. URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from sparkseek.llm.common import durable
 
 N_BINS, N_TREES, DEPTH, RATE, L2 = 16, 10, 3, 0.3, 1.0
-#: Suffix statistics are kept by hash of the suffix, so that their table has a fixed size.
-SUFFIX_SLOTS = 1024
+#: Suffixes with at least 1/SUFFIX_SHARE of the labelled rows have statistics of their own, so there are SUFFIX_SHARE at most.
+SUFFIX_SHARE = 1000
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,9 @@ def _count(c: Column, of: str) -> Column:
     return (F.length(c) - F.length(F.regexp_replace(c, of, ""))).cast("double")
 
 
-def suffix_slot(host: Column) -> Column:
-    """The host's last label, hashed to a fixed number of slots."""
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -1)), F.lit(SUFFIX_SLOTS)).cast("int")
+def suffix(host: Column) -> Column:
+    """The host's last label."""
+    return F.substring_index(host, ".", -1)
 
 
 def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -102,12 +104,12 @@ class UrlModel:
         host, path = host_and_path(F.col(url_col))
         out = urls.withColumns({"_host": host, "_path": path})
         own = features(F.col(url_col), F.col("_host"), F.col("_path"))
-        out = out.withColumns({f"_x_{k}": v for k, v in own.items()} | {"_slot": suffix_slot(F.col("_host"))})
+        out = out.withColumns({f"_x_{k}": v for k, v in own.items()} | {"_suffix": suffix(F.col("_host"))})
         return out
 
     def _vector(self, df: DataFrame) -> DataFrame:
-        """The features as one array, with the suffix's statistics from a table of SUFFIX_SLOTS rows at most."""
-        df = df.join(F.broadcast(self.suffixes), "_slot", "left")
+        """The features as one array, with the suffix's statistics from a table of SUFFIX_SHARE rows at most."""
+        df = df.join(F.broadcast(self.suffixes), "_suffix", "left")
         names = [c for c in df.columns if c.startswith("_x_")]
         own = [F.coalesce(F.col("_suffix_rate"), F.lit(self.rate)), F.coalesce(F.col("_suffix_share"), F.lit(0.0))]
         return df.withColumn("_x", F.array(*names, *own))
@@ -121,8 +123,8 @@ class UrlModel:
         n, positive = rows.agg(F.count("*"), F.sum("_y")).first()
         self.rate = (positive or 0.0) / n if n else 0.0
         self.base = math.log((positive + 0.5) / (n - positive + 0.5)) if n else -1.0
-        stats = rows.groupBy("_slot").agg(((F.sum("_y") + 10 * F.lit(self.rate)) / (F.count("*") + 10)).alias("_suffix_rate"), (F.count("*") / F.lit(float(n or 1))).alias("_suffix_share"))
-        self.suffixes = durable(stats)
+        stats = rows.groupBy("_suffix").agg(((F.sum("_y") + 10 * F.lit(self.rate)) / (F.count("*") + 10)).alias("_suffix_rate"), (F.count("*") / F.lit(float(n or 1))).alias("_suffix_share"))
+        self.suffixes = durable(stats.where(F.col("_suffix_share") * SUFFIX_SHARE >= 1))
         if not n or self.rate in (0.0, 1.0):
             return self
         rows = self._vector(rows)
@@ -200,3 +202,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, threshold:
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("block_probability") >= threshold, "block").otherwise("allow")
     return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "block_probability")
+
+
+def held_out(labelled: DataFrame, fold: int, folds: int = 4, url_col: str = "url", label_col: str = "label", threshold: float = 0.5) -> DataFrame:
+    """How a model that saw no URL of the hosts whose crc32 leaves ``fold`` judges these: one row of n, positive, blocked and right (positive ones that are blocked)."""
+    host, _ = host_and_path(F.col(url_col))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"), (F.crc32(host.cast("binary")) % folds == fold).alias("held"))
+    judged = UrlModel().fit(rows.where("not held")).score(rows.where("held"))
+    blocked = F.col("block_probability") >= threshold
+    return judged.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(blocked).alias("blocked"), F.count_if(blocked & (F.col("label") == 1)).alias("right"))

@@ -297,6 +297,45 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES, model).count() == 0
 
 
+def url_features_brute(url):
+    host, _, path = (url.partition("://")[2]).partition("/")
+    host, path = host.lower(), ("/" + path).split("?")[0].split("#")[0]
+    entropy = -sum(n / len(host) * math.log2(n / len(host)) for n in Counter(host).values())
+    return [len(url), len(host), path.count("/"), sum(c in "0123456789" for c in url) / len(url), sum(c in "0123456789" for c in host), entropy, url.count("?") + url.count("&"), host.count("."), host.count("-")]
+
+
+def test_url_features_and_splits(spark, monkeypatch):
+    """Features by hand, the first split against all splits, and suffixes: common ones by themselves, rare ones as unseen."""
+    monkeypatch.setattr(url_filter, "SUFFIX_SHARE", 20)
+    r = random.Random(7)
+    rows = []
+    for i in range(300):
+        bad = i % 5 == 0
+        name = "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9))) + (f"-{r.randrange(99)}" if bad and i % 3 or i % 17 == 0 else "")
+        suffix = "rare" if i < 4 else r.choice(["com", "net", "org"])
+        rows.append((f"https://{name}.{suffix}/{'x/' * r.randrange(4)}p{i}{'?a=1&b=2' if i % 4 == 0 else ''}", int(bad)))
+    rows.append(("https://long.com/" + "a/" * 1_000_000, 0))
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.UrlModel().fit(labelled)
+    vectors = {x.url: x._x for x in model._vector(model._prepared(labelled, "url")).select("url", "_x").collect()}
+    ending = {u: u.partition("://")[2].partition("/")[0].rpartition(".")[2] for u, _ in rows}
+    rate = sum(y for _, y in rows) / len(rows)
+    for u, _ in rows:
+        own = [y for v, y in rows if ending[v] == ending[u]]
+        expected = [(sum(own) + 10 * rate) / (len(own) + 10), len(own) / len(rows)] if len(own) * 20 >= len(rows) else [rate, 0.0]
+        assert vectors[u] == pytest.approx([*url_features_brute(u), *expected], abs=1e-5)
+    assert set(ending.values()) - {x._suffix for x in model.suffixes.collect()} == {"rare"}
+    p = 1 / (1 + math.exp(-model.base))
+    sums = lambda part: (sum(p - y for _, y in part), len(part) * p * (1 - p))
+    gain = lambda part: sums(part)[0] ** 2 / (sums(part)[1] + url_filter.L2)
+    sides = {(f, b): ([x for x in rows if sum(vectors[x[0]][f] >= c for c in cuts) < b], [x for x in rows if sum(vectors[x[0]][f] >= c for c in cuts) >= b]) for f, cuts in enumerate(model.cuts) for b in range(1, len(cuts) + 1)}
+    best = max(gain(a) + gain(b) for a, b in sides.values() if a and b)
+    chosen = sides[model.trees[0][0]]
+    assert gain(chosen[0]) + gain(chosen[1]) == pytest.approx(best)
+    judged = [url_filter.held_out(labelled, k).first() for k in range(4)]
+    assert sum(x.n for x in judged) == len(rows) and sum(x.positive for x in judged) == 60 and sum(x.right for x in judged) > 20
+
+
 def test_spam_terms_label_every_junk_host():
     junk_hosts = ["casino-win", "cheap-pills", "spam-farm", "free-bets", "ads-track", "adult-x"]
     assert all(re.search(SPAM_TERMS, f"m.{h}.example.net") for h in junk_hosts)
