@@ -58,9 +58,11 @@ def anchored(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
     if len(hashes) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = runs(hashes, anchor)
-    bits = np.uint64(max(1, int(len(own)).bit_length()))
-    least = _least(((own >> bits) << bits) | np.arange(len(own), dtype=np.uint64), window - anchor + 1)
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    width = window - anchor + 1
+    least = _least(own, width)
+    at, here = np.zeros(len(least), np.int64), np.arange(len(least))
+    for k in reversed(range(width)):  # of equal runs the first, whatever the document's length
+        at = np.where(own[k : k + len(least)] == least, here + k, at)
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return own[at[starts]], starts, np.diff(np.append(starts, len(at)))
 
