@@ -308,3 +308,24 @@ def test_hot_keys_join_like_others(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, "k").select("k", "v", "n", "most").collect()))
     left = join_hot(rows, table, "k", F.col("n"), 3000, F.concat(F.lit("spread"), F.col("v")), how="left")
     assert left.count() == 3000 and left.where("n is null").count() == 20
+
+
+def _broadcasting(spark, run):
+    """How many of the plans that run() executes hold a broadcast join."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    plans = store.executionsList()
+    return sum("BroadcastHashJoin" in plans.apply(i).physicalPlanDescription() for i in range(before, plans.size()))
+
+
+def test_small_joins_are_not_built_in_the_driver(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 9], "a long, b long")
+    assert _broadcasting(spark, lambda: components.components(links)) == 0
+    texts = docs(spark, corpus()).selectExpr("doc_id AS id", "text")
+    hinted = 2  # join_hot of the stars, and of the components
+    assert _broadcasting(spark, lambda: jaccard_join.link_groups(texts, id_col="id")) <= hinted
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
