@@ -5,16 +5,16 @@
    to two bits each, Gray-coded; 16 of them make one 32-bit number for each frame.
 2. Candidates. A recording votes for (earlier recording, offset) with each of its frames, once for every frame of the
    other that has the same number: an offset histogram. Every holder and every place of a number counts. Recordings are
-   dealt into blocks, and every two blocks meet in one task, which holds their numbers sorted: no votes are shuffled, and
-   a common number is met in as many tasks as there are pairs of blocks.
+   dealt into blocks, which are written once; every two blocks meet in one task, which reads them from there and holds their
+   numbers sorted: neither votes nor fingerprints are shuffled by pairs, and a common number is met in as many tasks as there are pairs of blocks.
 3. Alignment. At every offset with ``MIN_VOTES`` votes, and at the neighbours of those that come close, the two are compared bit by bit; they are
    linked if some stretch of at least ``MIN_FRAMES`` frames has a bit error of ``MAX_BIT_ERROR`` at most. Links make
    components. A task hands on each recording's number of links, its best one, and a spanning forest, not all links.
 
 Votes are the only index: pairs without an equal number at the right offset are not compared. Against all pairs at all offsets
 the recall is 26 of 28 links among 3,500 texts read as audio (45 of 52 with stretches of 32 frames; with 8 frames, which have
-most samples in common, most links are chance). Recordings shorter than a stretch cannot be linked and are left out. The number of votes grows with the square of the input, and so do reading and shuffle once there
-are more than ``MIN_BLOCKS`` blocks. Recordings with equal fingerprints are one class, by a 128-bit hash, before all this.
+most samples in common, most links are chance). Recordings shorter than a stretch cannot be linked and are left out. The number of votes grows with the square of the input, and so does reading, but not what is
+written, once there are more than ``MIN_BLOCKS`` blocks. Recordings with equal fingerprints are one class, by a 128-bit hash, before all this.
 
 Defined cases: null or empty audio has no frames and links with nothing; audio shorter than a frame is padded with
 silence. Rows that share an id must share the audio, as repeated rows do; null ids link with nothing. An empty
@@ -315,18 +315,40 @@ def _summary(links: Iterator[tuple[np.ndarray, ...]]) -> list[tuple]:
     return out + [(id_, first, None, None, 0) for id_, first in forest if best[id_][1] != first]
 
 
-def _compared(rows: pa.Table, min_votes: int, min_frames: int, max_error: float) -> pa.Table:
-    """The summary of the links between two blocks, or in one."""
-    ids, sides = rows.column("id").to_numpy(), rows.column("block").to_numpy()
-    prints = [np.frombuffer(p, "<u4") for p in rows.column("prints").to_pylist()]
-    blocks = [_Block(ids[sides == s], [prints[i] for i in np.flatnonzero(sides == s)]) for s in np.unique(sides)]
-    pair = rows.column("pair")[0].as_py()
-    out: list[tuple] = []
-    if len(blocks) == 2 or pair[0] == pair[1]:
-        out = _summary(_links(blocks[0], blocks[-1], len(blocks) == 1, min_votes, min_frames, max_error))
-    columns = list(zip(*out, strict=True)) or [[]] * 5
+_LINKS = "id long, first long, offset long, bit_error double, n_links long"
+
+
+def _block(members: pa.Scalar) -> _Block:
+    """The block of one row's recordings (id, prints)."""
+    ids, prints = members.values.flatten()
+    return _Block(ids.to_numpy(), [np.frombuffer(p, "<u4") for p in prints.to_pylist()])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], min_votes: int, min_frames: int, max_error: float) -> Iterator[pa.RecordBatch]:
+    """From (a, own, b, other), two blocks in a row, or one twice: the summary of the links between them, or in it."""
+    names = [f.split()[0] for f in _LINKS.split(", ")]
     types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "first", "offset", "bit_error", "n_links"])
+    for batch in batches:
+        for a, own, b, other in zip(*batch.columns, strict=True):
+            same = a == b
+            first = _block(own)
+            out = _summary(_links(first, first if same else _block(other), same, min_votes, min_frames, max_error))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _block_pairs(long: DataFrame, n_blocks: int) -> DataFrame:
+    """(a, own, b, other): every two blocks of the recordings (class_id, prints), and each with itself, in one row.
+
+    Blocks are written once, as a row each, and a task reads its two from there: nothing is sent once for every pair.
+    """
+    dealt = long.select(F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)).cast("int").alias("block"), F.struct(F.col("class_id").alias("id"), "prints").alias("member"))
+    blocks = durable(dealt.repartitionByRange(n_blocks, "block").groupBy("block").agg(F.collect_list("member").alias("members")))
+    own = blocks.select(F.col("block").alias("a"), F.col("members").alias("own"))
+    other = blocks.select(F.col("block").alias("b"), F.col("members").alias("other"))
+    # of (a, b) and (b, a) one, by turns, so that every task has about as much to do
+    once = F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("a") <= F.col("b")).otherwise(F.col("a") > F.col("b"))
+    return own.join(other.hint("shuffle_replicate_nl"), once)
 
 
 def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] = samples_of_wav, id_col: str = "doc_id", audio_col: str = "audio", min_votes: int = MIN_VOTES, min_frames: int = MIN_FRAMES, max_error: float = MAX_BIT_ERROR) -> DataFrame:
@@ -338,10 +360,7 @@ def shared_audio(recordings: DataFrame, samples: Callable[[bytes], np.ndarray] =
     long = classes.where(F.length("prints") >= 4 * min_frames)
     frames = long.agg(F.sum(F.length("prints") / 4)).first()[0] or 0
     n_blocks = max(MIN_BLOCKS, -(-int(frames) // BLOCK_FRAMES))
-    dealt = long.select(F.col("class_id").alias("id"), F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)).cast("int").alias("block"), "prints")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    dealt = dealt.select(F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "block", "id", "prints")
-    links = dealt.groupBy("pair").applyInArrow(lambda t: _compared(t, min_votes, min_frames, max_error), "id long, first long, offset long, bit_error double, n_links long")
+    links = _block_pairs(long, n_blocks).mapInArrow(lambda b: _compared(b, min_votes, min_frames, max_error), _LINKS)
     links = durable(links)
     roots = components(links.select(F.col("id").alias("a"), F.col("first").alias("b")))
     best = F.min_by(F.struct(F.col("first").alias("match_id"), F.col("offset").alias("match_offset"), "bit_error"), F.struct("bit_error", "first"))

@@ -548,6 +548,29 @@ def test_audio_shared_past_an_earlier_holder(spark):
     assert (out[2].n_links, out[2].match_id) == (1, 1) and abs(out[2].match_offset + 2 * chroma.RATE // chroma.HOP) <= 1
 
 
+def test_chroma_sends_no_block_for_every_pair(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, wav(recording(r, 8))) for i in range(40)]
+    rows += [(100 + i, wav(chroma.samples_of_wav(a)[chroma.HOP * 40 :])) for i, a in rows[:10]]
+    table = spark.createDataFrame(rows, "doc_id long, audio binary").cache()
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    out, sent = {}, {}
+    for blocks in (1, 4, 16):
+        monkeypatch.setattr(chroma, "MIN_BLOCKS", blocks)
+        before = written()
+        out[blocks] = sorted(chroma.shared_audio(table, min_frames=60, max_error=0.05).collect())
+        sent[blocks] = written() - before
+    assert out[1] == out[4] == out[16] and sum(x.n_links for x in out[1]) >= 10
+    assert sent[16] < 1.5 * sent[1]
+
+
+
 @pytest.mark.parametrize("most", [1, 40, 1 << 20])
 def test_audio_links_are_those_of_all_holders(monkeypatch, most):
     monkeypatch.setattr(chroma, "MAX_VOTES", most)
