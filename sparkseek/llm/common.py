@@ -69,14 +69,28 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def table(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared checkpoint folder and read again."""
-    spark = df.sparkSession
+def _table_path(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared checkpoint folder and read again."""
+    path = path or _table_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_table(df: DataFrame) -> Iterator[DataFrame]:
+    """table(df), deleted afterwards: what is made of it has to be durable by then."""
+    spark, path = df.sparkSession, _table_path(df.sparkSession)
+    try:
+        yield table(df, path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def file_order(docs: DataFrame) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import durable, ship
+from sparkseek.llm.common import durable, scratch_table, ship
 from sparkseek.llm.textscan import runs, scan, slices
 
 WINDOW, ANCHOR = 20, 8
@@ -237,11 +237,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    occurrences = _stretch_rows(known, window, anchor)
-    recurring = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    own = occurrences.join(recurring.withColumn("hot", (F.col("n") > hot).cast("long")).drop("n"), "anchor")
-    own = own.groupBy("id").agg(F.collect_set(F.struct("anchor", (F.col("place") * 2 + F.col("hot")).alias("place"))).alias("own"))
-    own = durable(own.select("id", F.col("own.anchor").alias("anchors"), F.col("own.place").alias("places")))
+    with scratch_table(_stretch_rows(known, window, anchor)) as occurrences:  # read twice, so that texts are hashed once
+        recurring = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+        own = occurrences.join(recurring.withColumn("hot", (F.col("n") > hot).cast("long")).drop("n"), "anchor")
+        own = own.groupBy("id").agg(F.collect_set(F.struct("anchor", (F.col("place") * 2 + F.col("hot")).alias("place"))).alias("own"))
+        own = durable(own.select("id", F.col("own.anchor").alias("anchors"), F.col("own.place").alias("places")))
     # both joins with the documents read one and the same shuffle of their texts
     segments = docs.join(own, "id", "left").select("id", "text", "anchors", "places").mapInArrow(lambda b: _segments(b, window), "route long, segment binary, windows long, id long, start long, times long")
     segments = segments.repartition("route").sortWithinPartitions("route")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -329,3 +330,21 @@ def test_small_joins_are_not_built_in_the_driver(spark):
     hinted = 2  # join_hot of the stars, and of the components
     assert _broadcasting(spark, lambda: jaccard_join.link_groups(texts, id_col="id")) <= hinted
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_repeated_phrases_reads_texts_twice_and_leaves_no_table(spark):
+    rows = corpus(3, 60)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    source = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    tables = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tables"
+    before = set(tables.glob("*"))
+    out = repeated_phrases.remove_repeated(source.mapInArrow(counted, source.schema)).collect()
+    assert sum(x.n_removed for x in out) > 0 and len(out) == len(rows)
+    assert read.value <= 2 * len(rows), read.value  # once for anchors, once for the texts themselves
+    assert set(tables.glob("*")) == before
