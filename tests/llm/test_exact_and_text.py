@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.llm import components, exact_dedup, jaccard_join, line_spread, repeated_phrases, textscan
+from sparkseek.llm import common, components, exact_dedup, jaccard_join, line_spread, repeated_phrases, textscan
 from tests.llm.helpers import corpus, docs, words
 
 
@@ -348,3 +348,22 @@ def test_repeated_phrases_reads_texts_twice_and_leaves_no_table(spark):
     assert sum(x.n_removed for x in out) > 0 and len(out) == len(rows)
     assert read.value <= 2 * len(rows), read.value  # once for anchors, once for the texts themselves
     assert set(tables.glob("*")) == before
+
+
+def test_durable_steps_give_the_drivers_memory_back(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def full_collections():
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    trims, trim = [], getattr(common, "_trim_native_heap", None)
+    monkeypatch.setattr(common, "HEAP_SHARE", 0, raising=False)
+    monkeypatch.setattr(common, "COLLECT_S", 0, raising=False)
+    monkeypatch.setattr(common, "_trim_native_heap", lambda spark: trims.append(trim(spark)), raising=False)
+    before = full_collections()
+    assert common.durable(spark.range(3)).count() == 3
+    assert full_collections() > before and len(trims) == 1  # and this JVM has the command, or nothing would be added
+    monkeypatch.setattr(common, "COLLECT_S", 1000)
+    before = full_collections()
+    common.durable(spark.range(3))
+    assert full_collections() == before and len(trims) == 1
