@@ -2,7 +2,8 @@
 
 An index is three DataFrames: postings (doc_key, scope, term, tf, dl), scopes (scope, n, avgdl) and terms (scope, term,
 df). With statistics by shard, a scope is a shard; else there is one. Scoring a query is a filter on
-postings, which are sorted by term on disk, one aggregation and a top-k.
+postings, which are sorted by term on disk, one aggregation and a top-k. An index that is neither kept nor written
+has its tokens too: a query then takes its own terms out of them, and no others are shuffled.
 """
 
 from __future__ import annotations
@@ -24,33 +25,36 @@ class KeywordIndex:
     terms: DataFrame
     k1: float = K1
     b: float = B
+    own: DataFrame | None = None  # doc_key, scope, tokens, dl: of an index whose postings are held nowhere
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: Column, scope: Column | None = None, k1: float = K1, b: float = B) -> KeywordIndex:
         own = docs.select(F.col(key).alias("doc_key"), (F.lit(0) if scope is None else scope).alias("scope"), tokens(text).alias("tokens"))
         own = own.withColumn("dl", F.size("tokens"))
         scopes = own.groupBy("scope").agg(F.count("*").alias("n"), F.greatest(F.sum("dl") / F.count("*"), F.lit(1.0)).alias("avgdl"))
-        # dl comes with the key, so the aggregation to term frequencies needs no join for it
-        postings = own.select("doc_key", "scope", "dl", F.explode("tokens").alias("term")).groupBy("doc_key", "scope", "dl", "term").agg(F.count("*").alias("tf"))
-        terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
-        return cls(postings, scopes, terms, k1, b)
+        postings = _postings(own, F.col("tokens"))
+        return cls(postings, scopes, _terms(postings), k1, b, own)
 
     def keep(self) -> KeywordIndex:
         """The same index, held by the session in memory or on local disks: computed by the first query, read by all later ones."""
         postings = self.postings.persist()
-        terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
-        return KeywordIndex(postings, self.scopes.persist(), terms.persist(), self.k1, self.b)
+        return KeywordIndex(postings, self.scopes.persist(), _terms(postings).persist(), self.k1, self.b)
+
+    def keep_scopes(self) -> KeywordIndex:
+        """The same index, with the statistics of its scopes held by the session; the terms of each query are taken from the documents."""
+        return KeywordIndex(self.postings, self.scopes.persist(), self.terms, self.k1, self.b, self.own)
 
     def drop(self) -> None:
-        """Let go of what keep() holds."""
+        """Let go of what keep() or keep_scopes() holds."""
         for t in (self.postings, self.scopes, self.terms):
             t.unpersist()
 
     def write(self, folder: str) -> None:
-        """Postings sorted by term within files, so that a query's terms prune row groups."""
+        """Postings sorted by term within files, so that a query's terms prune row groups. Terms are counted in what was written."""
         self.postings.repartitionByRange("term", "doc_key").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
         self.scopes.write.mode("overwrite").parquet(f"{folder}/scopes")
-        self.terms.repartitionByRange("term", "scope").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        terms = _terms(self.postings.sparkSession.read.parquet(f"{folder}/postings"))
+        terms.repartitionByRange("term", "scope").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
 
     @classmethod
     def read(cls, spark, folder: str, k1: float = K1, b: float = B) -> KeywordIndex:
@@ -64,12 +68,17 @@ class KeywordIndex:
         norm = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
         return out.withColumn("score", F.col("idf") * F.col("tf") * (self.k1 + 1) / norm)
 
+    def _scored(self, words: list[str]) -> DataFrame:
+        """The postings of some terms with their scores."""
+        wanted = lambda t: t.isin(words) if words else F.lit(False)
+        if self.own is None:
+            return self._weighted(self.postings.where(wanted(F.col("term"))), self.terms.where(wanted(F.col("term"))))
+        postings = _postings(self.own, F.filter("tokens", wanted))
+        return self._weighted(postings, _terms(postings))
+
     def matches(self, query: str) -> DataFrame:
         """doc_key, score of every document with any of the query's terms; none for a query without terms."""
-        words = query_terms(query)
-        wanted = F.col("term").isin(words) if words else F.lit(False)
-        scored = self._weighted(self.postings.where(wanted), self.terms.where(wanted))
-        return scored.groupBy("doc_key").agg(F.sum("score").alias("score"))
+        return self._scored(query_terms(query)).groupBy("doc_key").agg(F.sum("score").alias("score"))
 
     def search(self, query: str, limit: int = 10, docs: DataFrame | None = None) -> DataFrame:
         """The best ``limit`` documents (0: all), by falling score, then key. docs: only documents with a key in it."""
@@ -84,14 +93,22 @@ class KeywordIndex:
         spark = self.postings.sparkSession
         rows = [(i, t) for i, q in queries for t in query_terms(q)]
         asked = spark.createDataFrame(rows, "query_id long, term string")
-        words = sorted({t for _, t in rows})
-        wanted = F.col("term").isin(words) if words else F.lit(False)
-        scored = self._weighted(self.postings.where(wanted), self.terms.where(wanted)).join(F.broadcast(asked), "term")
+        scored = self._scored(sorted({t for _, t in rows})).join(F.broadcast(asked), "term")
         hits = scored.groupBy("query_id", "doc_key").agg(F.round(F.sum("score"), 6).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_key")
         return self._kept(hits, docs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit if limit else F.lit(True))
 
 
+def _postings(own: DataFrame, terms: Column) -> DataFrame:
+    """Of own (doc_key, scope, tokens, dl): term frequencies. dl comes with the key, so that they need no join for it."""
+    return own.select("doc_key", "scope", "dl", F.explode(terms).alias("term")).groupBy("doc_key", "scope", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    """Document frequencies. They read tf too, so that a plan with both has one exchange for the postings."""
+    return postings.groupBy("scope", "term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+
+
 def top(hits: DataFrame, limit: int, key: str = "doc_key") -> DataFrame:
     """By falling score, rounded so that sums in another order tie alike, then key; limit 0 is all."""
     out = hits.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key)

@@ -73,11 +73,14 @@ KEPT_INDEXES = 4
 
 
 def index(spark: SparkSession, sf_dir: str, scope=None) -> KeywordIndex:
-    """The index of the documents, built once for all queries of a session; other files in the folder make another index."""
+    """The index of the documents, one for all queries of a session; other files in the folder make another index.
+
+    A query asks for a few words of a corpus of any size, so that only the statistics of scopes are held.
+    """
     docs = read(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles())), str(scope))
     if key not in _KEPT:
-        _KEPT[key] = KeywordIndex.build(docs, "doc_id", F.col("text"), scope).keep()
+        _KEPT[key] = KeywordIndex.build(docs, "doc_id", F.col("text"), scope).keep_scopes()
         while len(_KEPT) > KEPT_INDEXES:
             old, gone = _KEPT.popitem(last=False)
             if old[0] == key[0]:
@@ -478,12 +481,13 @@ def federated_topk(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql(['the', 'tion'])} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10")
 def progressive_final_equals_unary(spark, sf_dir):
-    """The last of the growing results over four slices."""
-    whole = index(spark, sf_dir)
+    """The last of the growing results over four slices, whose best are found in one job."""
+    best = Window.partitionBy("slice").orderBy(F.desc("score"), "doc_key")
+    hits = index(spark, sf_dir).matches(WORDS).select("doc_key", F.round("score", 6).alias("score"), shard_of(F.col("doc_key").cast("string"), 4).alias("slice"))
+    parts = hits.withColumn("r", F.row_number().over(best)).where("r <= 10").persist()  # forty rows
     found = None
     for s in range(4):
-        own = read(spark, sf_dir, "documents").where(shard_of(F.col("doc_id").cast("string"), 4) == s).select(F.col("doc_id").alias("doc_key"))
-        part = whole.search(WORDS, 10, own)
+        part = parts.where(F.col("slice") == s).select("doc_key", "score")
         found = part if found is None else top(found.unionByName(part), 10)
     return found.withColumnRenamed("doc_key", "doc_id")
 

@@ -78,7 +78,7 @@ class Engine:
     def cache(self) -> Engine:
         """Keeps documents and index at hand for repeated queries; Spark spills what memory does not hold."""
         self.docs = self.docs.persist()
-        self.index.postings, self.index.scopes, self.index.terms = (t.persist() for t in (self.index.postings, self.index.scopes, self.index.terms))
+        self.index = self.index.keep()
         self._vectors = self.vectors.persist()
         return self
 

@@ -175,6 +175,52 @@ def test_fusion_is_no_worse_than_either_ranking(spark):
     assert ndcg_table(ranked, relevance).first().ndcg == pytest.approx(1 / math.log2(3), abs=1e-6)
 
 
+def shuffled(df):
+    """Rows that a query's jobs put into shuffles, and rows that they read from tables."""
+    context = df.sparkSession.sparkContext
+    store, bus = context._jsc.sc().statusStore(), context._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): (x.shuffleWriteRecords(), x.inputRecords()) for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    df.collect()
+    new = [v for k, v in stages().items() if k not in before]
+    return sum(v[0] for v in new), sum(v[1] for v in new)
+
+
+@pytest.fixture(scope="module")
+def many_words(spark, tmp_path_factory):
+    """Four hundred documents of a hundred words each, of which few are asked for."""
+    folder = tmp_path_factory.mktemp("words")
+    rows = [(i, " ".join(["the" if i % 5 == 0 else "a", "tion" if i % 7 == 0 else "b", *(f"w{i}x{j}" for j in range(98))]), "en" if i % 2 else "de", f"s{i % 3}", 500 + i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    docs.write.parquet(str(folder / "documents.parquet"))
+    docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["progressive_final_equals_unary", "bm25_filtered", "ndcg_eval", "federated_topk", "agg_keyword_scoped", "bm25_sharded_stats", "search_many", "bm25_topk"])
+def test_a_query_shuffles_its_own_terms_only(spark, many_words, name):
+    from sparkseek import queries as core
+
+    rows, read = shuffled(core.queries()[name](spark, many_words))
+    assert 0 < rows < 4000  # there are 40,000 tokens
+    assert read < 5 * 400  # the documents for terms (again where a join leaves out null ids), scopes and what the query itself joins
+
+
+def test_plain_and_kept_index_agree(spark):
+    i = index(spark, THREE)
+    kept = i.keep()
+    for q in ("boeing sfo", "lax", "", "nothing"):
+        assert i.search(q, 0).collect() == kept.search(q, 0).collect() == i.keep_scopes().search(q, 0).collect()
+    many = [(1, "boeing"), (2, "lax sfo")]
+    assert sorted(i.search_many(many, 0).collect()) == sorted(kept.search_many(many, 0).collect())
+    kept.drop()
+
+
 def test_one_index_for_all_queries_of_a_session(spark, tmp_path):
     from sparkseek import queries as core
 
