@@ -44,9 +44,8 @@ def main() -> None:
         queries[name] = round(timed(lambda: found[name](spark, SF_DIR).collect()), 3)
     more = {}
     if not sys.argv[1:]:
-        index = KeywordIndex.build(core.read(spark, SF_DIR, "documents"), "doc_id", F.col("text"))
+        index = KeywordIndex.build(core.read(spark, SF_DIR, "documents"), "doc_id", F.col("text")).keep()
         for t in ("postings", "scopes", "terms"):
-            setattr(index, t, getattr(index, t).persist())
             getattr(index, t).count()
         more["search_warm"] = round(min(timed(lambda: index.search("tion", 10).collect()) for _ in range(3)), 3)
         words = [r.term for r in index.terms.orderBy(F.desc("df"), "term").limit(200).collect()]
